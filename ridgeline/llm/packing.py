@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ridgeline.llm.common import clean, stage
 from ridgeline.llm.tokens import Encoder
@@ -84,7 +85,7 @@ def ranked(pieces: DataFrame) -> DataFrame:
 
 def numbered(df: DataFrame) -> DataFrame:
     """A table with ``length`` gets ``part`` and ``local_rank``, written to the shared folder so that they stay as they are."""
-    out = df.schema.add("part", "integer").add("local_rank", "long")
+    out = StructType(list(df.schema.fields)).add("part", "integer").add("local_rank", "long")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), {}
@@ -112,7 +113,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         counts[row["length"]] = row["n"]
     plan = spark.sparkContext.broadcast(best_fit(counts, capacity))  # bounded by the capacity, not by the input
     kept = [c for c in rows.columns if c not in ("part", "local_rank")]
-    out = rows.select(kept).schema.add("sequence_id", "long").add("offset", "long")
+    out = StructType(list(rows.select(kept).schema.fields)).add("sequence_id", "long").add("offset", "long")
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = plan.value
