@@ -84,8 +84,8 @@ def utf8(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a run of texts: byte spans ``start``/``end``, ``first[d]:first[d+1]`` the words of text d, 64-bit ``key`` of each."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, keys: bool = True):
-        inside = ~_SPACE[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, keys: bool = True, space: np.ndarray = _SPACE):
+        inside = ~space[data]
         n = len(data)
         before = np.empty(n, bool)
         before[1:] = inside[:-1]
@@ -125,6 +125,38 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` (one for each byte or word) over each text."""
+    total = np.concatenate(([0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)))
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def sampled_labels(docs: DataFrame, labels: DataFrame, label: str, limit: int, where: Column | None = None) -> tuple[list[str], np.ndarray]:
+    """Whole texts and labels of the ``limit`` labelled rows with the smallest hash of doc_id (null texts and labels left out)."""
+    few = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).where(F.col("_label").isNotNull() & F.col("_id").isNotNull())
+    few = (few if where is None else few.where(where)).orderBy(F.xxhash64("_id"), "_id", "_label").limit(limit)
+    rows = clean(docs).where(F.col("text").isNotNull()).join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_label")
+    rows = sorted(map(tuple, rows.collect()))  # ``limit`` rows, unless documents repeat an id
+    return [r[1] for r in rows], np.array([r[2] for r in rows], np.float64)
+
+
+def platt(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """a, b so that 1 / (1 + exp(-(a * raw + b))) fits the labels, by Newton steps with a little shrinkage."""
+    a, b = 1.0, 0.0
+    if not len(raw) or label.min() == label.max():
+        return a, b
+    x = np.stack([raw, np.ones(len(raw))])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
+        grad = x @ (label - p) - np.array([1e-3 * (a - 1), 0])
+        hess = (x * (p * (1 - p))) @ x.T + np.diag([1e-3, 1e-6])
+        da, db = np.linalg.solve(hess, grad)
+        a, b = a + float(np.clip(da, -2, 2)), b + float(np.clip(db, -2, 2))
+        if abs(da) + abs(db) < 1e-6:
+            break
+    return max(a, 1e-3), b
+
+
 def grams(key: np.ndarray, n: int, mult: np.uint64 = MULT) -> np.ndarray:
     """Hash of the n words from each word on; the last n - 1 have none."""
     m = max(0, len(key) - n + 1)
