@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ridgeline.llm.common import clean, stage
-from ridgeline.llm.tokens import Encoder
+from ridgeline.llm.tokens import encoder as shared_encoder
 
 CAPACITY = 2048
 
@@ -136,7 +136,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACI
     names = [x.split()[0] for x in kind.split(", ")]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary, spaced)
+        encoder = shared_encoder(vocabulary, spaced)
         end = np.array([end_id], encoder.dtype).tobytes()
         for whole in it:
             for i in range(0, whole.num_rows, 1000):

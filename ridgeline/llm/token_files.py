@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm import rans
 from ridgeline.llm.common import clean, shared_dir, shuffle_partitions, stage
-from ridgeline.llm.tokens import Encoder
+from ridgeline.llm.tokens import encoder as shared_encoder
 
 BLOCK_TOKENS = 1 << 19
 _SLICE = 1024
@@ -36,7 +36,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int, spaced: bool) -> Dat
     schema = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at, part = Encoder(vocabulary, spaced), 0, TaskContext.get().partitionId()
+        encoder, at, part = shared_encoder(vocabulary, spaced), 0, TaskContext.get().partitionId()
         end = np.array([end_id], encoder.dtype).tobytes()
         for whole in it:
             for i in range(0, whole.num_rows, 1000):
@@ -82,7 +82,7 @@ def count_symbols(tokens: DataFrame, dtype: np.dtype, n_symbols: int) -> np.ndar
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, spaced: bool = True, block_tokens: int = BLOCK_TOKENS) -> None:
     """Write ``path``/table and ``path``/blocks."""
     spark = docs.sparkSession
-    encoder = Encoder(vocabulary, spaced)
+    encoder = shared_encoder(vocabulary, spaced)
     dtype, size = encoder.dtype, max(encoder.tokenizer.get_vocab_size(), end_id + 1)
     tokens = tokenize(docs, vocabulary, end_id, spaced)
     table = rans.Table.of_counts(count_symbols(tokens, dtype, size))

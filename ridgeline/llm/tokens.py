@@ -1,19 +1,21 @@
-"""Exact token ids of whole texts by the tokenizers library, one call for each distinct piece of text between spaces.
+"""Exact token ids of whole texts by the tokenizers library, with each distinct piece of text between spaces encoded once.
 
 Both vocabularies split text at white space before they merge anything, so what lies between two spaces always gets the
-same ids. A bounded cache keeps the ids of the pieces seen; only pieces not in it reach the library.
+same ids. A bounded cache keeps the ids of the pieces seen; those not in it reach the library many at a time, and their
+ids are cut apart again. Texts where white space follows white space are encoded whole if white space stays in the ids.
 """
 
 from __future__ import annotations
 
+import functools
 import os
-import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 
-#: White space that isn't one ASCII space or line feed between two other characters: such texts are encoded whole.
-_ODD = re.compile(r"[\s᠎]{2}|^[\s᠎]|[\s᠎]\Z")
+_MARK = "\x00"
+#: A space to the library but not to Python.
+_ALSO_SPACE = "᠎"
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,37 +34,89 @@ class Encoder:
     else white space only separates (vocabularies with word ends). A null text has no ids.
     """
 
-    def __init__(self, name: str, spaced: bool, cache_pieces: int = 300_000):
+    def __init__(self, name: str, spaced: bool, cache_pieces: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
         self.tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.spaced, self.limit, self.cache = spaced, cache_pieces, {}
-
-    def pieces(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        if not self.spaced:
-            return [p for p in text.split(" ") if p]
-        if _ODD.search(text):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *(" " + p for p in rest)]
-
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        split = [self.pieces(t) for t in texts]
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 65536 else "<u4")
+        self.spaced, self.limit = spaced, cache_pieces
+        self.cache: dict[str, bytes] = {}  # by piece, as it is after a space
+        self.heads: dict[str, bytes] = {}  # by piece, as it is at the start of a text
+        self.opens = np.zeros(max(size, 1), bool)  # ids that begin with a space
+        if spaced:
+            for token, i in self.tokenizer.get_vocab().items():
+                self.opens[i] = token.startswith("Ġ")
+        else:
+            (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+
+    def _odd(self, piece: str) -> bool:
+        return not piece or piece[0].isspace() or piece[-1].isspace() or piece[0] == _ALSO_SPACE or piece[-1] == _ALSO_SPACE
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, missing: list[str]) -> None:
+        """Ids of pieces: joined by the hundred, encoded, and cut where a new piece opens."""
+        size = self.dtype.itemsize
+        alone = []
+        if self.spaced:
+            usual = [p for p in missing if not self._odd(p)]
+        else:
+            usual, alone = [], []
+            for p in missing:
+                (alone if self._odd(p) or _MARK in p else usual).append(p)
+        groups = [usual[i : i + 256] for i in range(0, len(usual), 256)]
+        joined = [" " + " ".join(g) for g in groups] if self.spaced else [f" {_MARK} ".join([*g, ""]) for g in groups]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(found.ids, self.dtype)
+            raw = ids.tobytes()
+            if self.spaced:
+                cut = [*(np.flatnonzero(self.opens[ids]) * size).tolist(), len(raw)]
+                begin, end = cut[:-1], cut[1:]
+            else:
+                end = (np.flatnonzero(ids == self.mark) * size).tolist()
+                begin = [0, *(e + size for e in end[:-1])]
+            if len(end) != len(group):  # never seen; such pieces are encoded one at a time
+                alone.extend(group)
+                continue
+            self.cache.update(zip(group, [raw[a:b] for a, b in zip(begin, end)]))
+        if alone:
+            self.cache.update(zip(alone, self._ids([" " + p if self.spaced else p for p in alone])))
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        split = [t.split(" ") if t else [] for t in texts]
+        if len(self.cache) > self.limit:
+            self.cache.clear()
+        if len(self.heads) > 20_000:
+            self.heads.clear()
         cache = self.cache
-        if len(cache) > self.limit:
-            cache.clear()
-        long, new = {}, set()
-        for pieces in split:
-            new.update(p for p in pieces if p not in cache)
-        missing = list(new)
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                (cache if len(piece) <= 64 else long)[piece] = np.array(found.ids, self.dtype).tobytes()
-        for pieces in split:
-            yield b"".join([cache[p] if p in cache else long[p] for p in pieces]) if long else b"".join([cache[p] for p in pieces])
+        heads: list[str] = []
+        if self.spaced:
+            heads = [s.pop(0) if s else "" for s in split]
+            new = list({h for h in heads if h and not self._odd(h)}.difference(self.heads))
+            self.heads.update(zip(new, self._ids(new)))
+        missing = list(set().union(*split).difference(cache))
+        self._learn(missing)
+        get = cache.__getitem__
+        for i, pieces in enumerate(split):
+            if not texts[i]:
+                yield b""
+            elif not self.spaced:
+                yield b"".join(map(get, pieces))
+            else:
+                try:
+                    yield self.heads[heads[i]] + b"".join(map(get, pieces))
+                except KeyError:  # white space next to white space
+                    yield self._ids([texts[i]])[0]
+        for piece in missing:
+            if len(piece) > 100:
+                cache.pop(piece, None)
+
+
+@functools.lru_cache(2)
+def encoder(name: str, spaced: bool) -> Encoder:
+    """One encoder for all tasks of a Python worker, with what it has cached so far."""
+    return Encoder(name, spaced)
