@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import decontaminate, language, packing, pii, quality, token_files, toxicity
+from ridgeline.llm import decontaminate, jaccard, language, packing, pii, quality, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -16,8 +16,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_token_files": token_files.op7_token_files,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontaminate.ORACLE_SQL,
+    "op10_ngram_jaccard_join": jaccard.ORACLE_SQL,
 }

@@ -47,7 +47,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int, spaced: bool) -> Dat
                 at += int(n.sum())
                 yield pa.record_batch([pa.array(np.full(len(n), part, np.int32)), pa.array(places), batch.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())], schema=schema)
 
-    ordered = clean(docs).repartitionByRange(2 * shuffle_partitions(spark), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = clean(docs).repartitionByRange(2 * shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     return stage(ordered.mapInArrow(run, _TOKENS), "tokens")
 
 
