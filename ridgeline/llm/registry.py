@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import decontaminate, jaccard, language, packing, pii, quality, token_files, toxicity
+from ridgeline.llm import decontaminate, jaccard, language, packing, pii, quality, recompression, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": pii.op3_pii,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_recompression_dedup": recompression.op6_recompression_dedup,
     "op7_token_files": token_files.op7_token_files,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
@@ -21,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontaminate.ORACLE_SQL,
+    "op6_recompression_dedup": recompression.ORACLE_SQL,
     "op10_ngram_jaccard_join": jaccard.ORACLE_SQL,
 }
