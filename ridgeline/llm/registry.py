@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import decontaminate, jaccard, language, packing, pii, quality, recompression, token_files, toxicity
+from ridgeline.llm import decontaminate, jaccard, language, packing, pii, quality, recompression, suffix, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_recompression_dedup": recompression.op6_recompression_dedup,
     "op7_token_files": token_files.op7_token_files,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_suffix_array_dedup": suffix.op9_suffix_array_dedup,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
 }
 
