@@ -6,8 +6,8 @@ for, so Spark's tasks give equal content equal names without asking each other,
 stands for and where its bounds fall depends on few words around it; the rounds keep that span for each symbol, so equal
 passages provably have the same symbols inside, wherever they occur.
 
-Each 13-word window is witnessed by the highest-level symbol whose span it covers (of several, the smallest name), and by
-its own name if it covers none. Equal windows have equal witnesses, so:
+Each 13-word window is witnessed by the symbol of most words, on any level, whose span it covers (of several, the smallest name),
+and by its own name if it covers none. Equal windows have equal witnesses, so:
 
 1. every chunk of documents sends the distinct witnesses it has, with its smallest and greatest doc_id, to the bucket of each name;
 2. a bucket answers which are shared by several documents;
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ridgeline.llm.common import MULT, MULT2, U64, Words, by_bucket, chunked, gram_rows, grams, group_min, member, mix, shuffle_partitions, slices, utf8
 
 WINDOW = 13
-ROUNDS = 2
+ROUNDS = 3
 _NONE = U64(2**64 - 1)
 _PACKED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
 _PACKED_DDL = "bucket int, chunk int, keys binary, more binary, low binary, high binary"
@@ -81,31 +81,27 @@ class Level:
 
 
 def witnesses(words: Words, window: int, at: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """A name for each window in ``at``: of its highest-level symbol, or ``own`` where it covers none."""
-    levels = [Level.runs(words.key, words.doc())]
-    for r in range(1, ROUNDS + 1):
-        levels.append(levels[-1].pairs(r))
+    """A name for each window in ``at``: of the symbol of most words that it covers, or ``own`` where it covers none."""
+    level = Level.runs(words.key, words.doc())
     best = np.full(len(at), _NONE)
     n = len(words)
-    for depth, level in reversed(list(enumerate(levels))):
-        left = np.flatnonzero(best == _NONE)
-        if not len(left):
-            break
+    for depth in range(ROUNDS + 1):
+        if depth:
+            level = level.pairs(depth)
         fits = level.high - level.low < window
         start, low, high = level.start[fits], level.low[fits].astype(np.int32), level.high[fits].astype(np.int32)
-        value = mix(level.name[fits] + U64(depth + 100))
+        span = np.minimum(np.append(level.start[1:], n) - level.start, 15)[fits]
+        # the fewer words, the larger
+        value = (mix(level.name[fits] + U64(depth + 100)) >> U64(4)) | ((15 - span).astype(np.uint64) << U64(60))
         slot = np.full(n + window, -1, np.int32)
         slot[start] = np.arange(len(start), dtype=np.int32)
-        where = at[left]
-        got = np.full(len(left), _NONE)
         for d in range(window):
-            s = slot[where + d]
+            s = slot[at + d]
             some = np.flatnonzero(s >= 0)
-            s, p = s[some], where[some]
+            s, p = s[some], at[some]
             inside = (low[s] >= p) & (high[s] < p + window)
             some, s = some[inside], s[inside]
-            got[some] = np.minimum(got[some], value[s])
-        best[left] = got
+            best[some] = np.minimum(best[some], value[s])
     return np.where(best == _NONE, mix(own ^ MULT2), best)
 
 
@@ -123,6 +119,9 @@ def _windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(chunk: int, buckets: int, key, more, low, high) -> pa.RecordBatch:
+    order = np.argsort(low, kind="stable")  # ids next to each other compress
+    key, low, high = key[order], low[order], high[order]
+    more = more[order] if more is not None else None
     rows = [(b, chunk, key[k].tobytes(), more[k].tobytes() if more is not None else b"", low[k].tobytes(), high[k].tobytes()) for b, k in by_bucket(key, buckets)]
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _PACKED)] if rows else [pa.array([], f.type) for f in _PACKED], schema=_PACKED)
 
