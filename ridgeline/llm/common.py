@@ -199,10 +199,10 @@ def chunked(docs: DataFrame, n: int) -> DataFrame:
 
 
 def by_bucket(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, rows) by the top bits of the key."""
+    """(bucket, rows) by a hash of the key, since keys that are minima of others are not spread evenly."""
     if not len(keys):
         return
-    bucket = ((keys >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
+    bucket = ((mix(keys ^ MULT2) >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cut = np.searchsorted(bucket[order], np.arange(n + 1))
     for b in range(n):

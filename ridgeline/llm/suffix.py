@@ -434,7 +434,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, wit
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(names), types)], names=names)
 
     shared = stage(texts.groupBy("chunk").applyInArrow(seen, _SEEN_DDL).groupBy("bucket").applyInArrow(told, _TOLD_DDL), "anchors")
-    flags = texts.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(sent, _SENT_DDL).groupBy("bucket", "hot", "i", "j").applyInArrow(flagged, _FLAGS_DDL)
+    flags = texts.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(sent, _SENT_DDL).repartition(n, "bucket", "hot", "i", "j").groupBy("bucket", "hot", "i", "j").applyInArrow(flagged, _FLAGS_DDL)
 
     def all_alike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
