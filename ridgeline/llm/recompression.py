@@ -40,8 +40,9 @@ _PACKED_DDL = "bucket int, chunk int, keys binary, more binary, low binary, high
 class Level:
     """Symbols of a run of texts: name, first word, and the first and last word of what the symbol depends on."""
 
-    def __init__(self, name, start, low, high, doc):
+    def __init__(self, name, start, low, high, doc, new=None):
         self.name, self.start, self.low, self.high, self.doc = name, start, low, high, doc
+        self.new = np.ones(len(name), bool) if new is None else new  # named in this round
 
     @classmethod
     def runs(cls, key: np.ndarray, doc: np.ndarray) -> Level:
@@ -77,7 +78,7 @@ class Level:
         left = np.flatnonzero(joins)
         name[left] = mix(self.name[left] * MULT + self.name[left + 1] * MULT2 + U64(round_))
         keep = ~joined
-        return Level(name[keep], self.start[keep], low[keep], high[keep], self.doc[keep])
+        return Level(name[keep], self.start[keep], low[keep], high[keep], self.doc[keep], joins[keep])
 
 
 def witnesses(words: Words, window: int, at: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -88,20 +89,27 @@ def witnesses(words: Words, window: int, at: np.ndarray, own: np.ndarray) -> np.
     for depth in range(ROUNDS + 1):
         if depth:
             level = level.pairs(depth)
-        fits = level.high - level.low < window
-        start, low, high = level.start[fits], level.low[fits].astype(np.int32), level.high[fits].astype(np.int32)
+        fits = level.new & (level.high - level.low < window)
+        if not fits.any():
+            continue
+        low, high = level.low[fits], level.high[fits]
         span = np.minimum(np.append(level.start[1:], n) - level.start, 15)[fits]
         # the fewer words, the larger
         value = (mix(level.name[fits] + U64(depth + 100)) >> U64(4)) | ((15 - span).astype(np.uint64) << U64(60))
-        slot = np.full(n + window, -1, np.int32)
-        slot[start] = np.arange(len(start), dtype=np.int32)
-        for d in range(window):
-            s = slot[at + d]
-            some = np.flatnonzero(s >= 0)
-            s, p = s[some], at[some]
-            inside = (low[s] >= p) & (high[s] < p + window)
-            some, s = some[inside], s[inside]
-            best[some] = np.minimum(best[some], value[s])
+        # both ends of the spans rise from symbol to symbol, so the symbols that a window covers follow each other
+        begin = np.cumsum(np.bincount(low + 2, minlength=n + window + 2))[at + 1].astype(np.int32)
+        size = np.cumsum(np.bincount(high + 1, minlength=n + window + 2))[at + window].astype(np.int32) - begin
+        width = 1
+        least = value  # of ``width`` symbols from each on
+        while True:
+            some = np.flatnonzero((size >= width) & (size < 2 * width))
+            if len(some):
+                i = begin[some]
+                best[some] = np.minimum(best[some], np.minimum(least[i], least[i + size[some] - width]))
+            if 2 * width > len(value) or not (size >= 2 * width).any():
+                break
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
     return np.where(best == _NONE, mix(own ^ MULT2), best)
 
 
@@ -174,8 +182,8 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -
     share. A null doc_id comes before all others. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    n = 4 * shuffle_partitions(spark)
-    texts = chunked(docs, n)
+    n = shuffle_partitions(spark)
+    texts = chunked(docs, 2 * n)
 
     def witnessed(group: pa.Table) -> pa.Table:
         keys, lows, highs = [], [], []
@@ -215,7 +223,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -
         for words, ids, i, j in _texts(group):
             at, own = _windows(words, window)
             gone = np.zeros(len(words) + 1, np.int64)
-            found = np.flatnonzero(member(one, own)[0])
+            found, _ = member(one, own)
             if len(found):
                 where = at[found]
                 second = grams(words.keys(_SECOND), window, MULT2)[where]

@@ -337,8 +337,8 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, wit
     if length > LENGTH or anchor >= length:
         raise ValueError(f"length must be {LENGTH} at most and over the anchor")
     spark = docs.sparkSession
-    n = 4 * shuffle_partitions(spark)
-    texts = chunked(docs, n)
+    n = shuffle_partitions(spark)
+    texts = chunked(docs, 2 * n)
 
     def seen(group: pa.Table) -> pa.Table:
         found = [(r.anchor, r.whole) for _, _, r, _, _ in _texts(group, length, anchor)]
@@ -385,7 +385,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, wit
             rows.append((b, hot, i, j, side, chunk, a[k].tobytes(), w[k].tobytes(), times[k].tobytes(), sizes[k].tobytes(), b"".join([raw[x] for x in pick[k]])))
 
         usual = np.flatnonzero(split == 1)
-        for b, k in by_bucket(a[usual], n):
+        for b, k in by_bucket(a[usual], 4 * n):
             add(b, 0, 0, 0, 0, usual[k])
         hot = np.flatnonzero(split > 1)
         for name in np.unique(a[hot]):
@@ -434,7 +434,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, wit
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(names), types)], names=names)
 
     shared = stage(texts.groupBy("chunk").applyInArrow(seen, _SEEN_DDL).groupBy("bucket").applyInArrow(told, _TOLD_DDL), "anchors")
-    flags = texts.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(sent, _SENT_DDL).repartition(n, "bucket", "hot", "i", "j").groupBy("bucket", "hot", "i", "j").applyInArrow(flagged, _FLAGS_DDL)
+    flags = texts.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(sent, _SENT_DDL).repartition(4 * n, "bucket", "hot", "i", "j").groupBy("bucket", "hot", "i", "j").applyInArrow(flagged, _FLAGS_DDL)
 
     def all_alike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
