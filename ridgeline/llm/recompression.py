@@ -11,7 +11,7 @@ and by its own name if it covers none. Equal windows have equal witnesses, so:
 
 1. every chunk of documents sends the distinct witnesses it has, with its smallest and greatest doc_id, to the bucket of each name;
 2. a bucket answers which are shared by several documents;
-3. only windows with a shared witness are verified: they send a 128-bit name of their words with the smallest doc_id;
+3. only windows with a shared witness are verified: they send a 96-bit name of their words with the smallest doc_id;
 4. a bucket answers the smallest doc_id of all that have that window, and the chunk removes the words that an earlier document covers.
 
 Chunks reduce what they send to distinct names, so a passage in a third of all documents is one record a chunk. Texts are
@@ -126,6 +126,11 @@ def _windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return at, grams(words.key, window)[at]
 
 
+def _second(words: Words, window: int) -> np.ndarray:
+    """32 more bits of each window's name, from other values for bytes, words and places."""
+    return (grams(words.keys(_SECOND), window, MULT2) >> U64(32)).astype(np.uint32)
+
+
 def _pack(chunk: int, buckets: int, key, more, low, high) -> pa.RecordBatch:
     order = np.argsort(low, kind="stable")  # ids next to each other compress
     key, low, high = key[order], low[order], high[order]
@@ -145,8 +150,8 @@ def _answers(part: pa.Table, shared_only: bool) -> pa.Table:
     key, n = _column(part, "keys", np.uint64)
     low, _ = _column(part, "low", np.int64)
     high, _ = _column(part, "high", np.int64)
-    more, m = _column(part, "more", np.uint64)
-    pair = np.stack([key, more], 1) if len(more) else key[:, None]
+    more, _ = _column(part, "more", np.uint32)
+    pair = np.stack([key, more.astype(np.uint64)], 1) if len(more) else key[:, None]
     order = np.lexsort(pair.T[::-1])
     p = pair[order]
     new = np.ones(len(p), bool)
@@ -160,7 +165,7 @@ def _answers(part: pa.Table, shared_only: bool) -> pa.Table:
     row = np.repeat(np.arange(len(n)), n)[keep]
     at = np.searchsorted(row, np.arange(len(n) + 1))
     k, v, s = key[keep], least[group][keep], more[keep] if len(more) else key[:0]
-    rows = [(c, k[a:b].tobytes(), s[a:b].tobytes() if len(s) else b"", v[a:b].tobytes()) for c, a, b in zip(part.column("chunk").to_pylist(), at[:-1], at[1:]) if b > a]
+    rows = [(c, k[a:b].tobytes(), s[a:b].tobytes() if len(s) else b"", b"" if shared_only else v[a:b].tobytes()) for c, a, b in zip(part.column("chunk").to_pylist(), at[:-1], at[1:]) if b > a]
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int32(), *[pa.binary()] * 3))], names=["chunk", "keys", "more", "least"])
 
 
@@ -169,10 +174,10 @@ _ANSWER_DDL = "chunk int, keys binary, more binary, least binary"
 
 def _sorted(answer: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key, _ = _column(answer, "keys", np.uint64)
-    more, _ = _column(answer, "more", np.uint64)
+    more, _ = _column(answer, "more", np.uint32)
     least, _ = _column(answer, "least", np.int64)
     order = np.argsort(key, kind="stable")
-    return key[order], more[order] if len(more) else more, least[order]
+    return key[order], more[order] if len(more) else more, least[order] if len(least) else least
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
@@ -203,7 +208,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -
             at, own = _windows(words, window)
             found, _ = member(shared, witnesses(words, window, at, own))
             at = at[found]
-            one.append(own[found]), two.append(grams(words.keys(_SECOND), window, MULT2)[at]), who.append(ids[words.doc()[at]])
+            one.append(own[found]), two.append(_second(words, window)[at]), who.append(ids[words.doc()[at]])
         if not one:
             return pa.Table.from_batches([], schema=_PACKED)
         one, two, who = map(np.concatenate, (one, two, who))
@@ -226,7 +231,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -
             found, _ = member(one, own)
             if len(found):
                 where = at[found]
-                second = grams(words.keys(_SECOND), window, MULT2)[where]
+                second = _second(words, window)[where]
                 begin, end = np.searchsorted(one, own[found], "left"), np.searchsorted(one, own[found], "right")
                 mine = ids[words.doc()[where]]
                 hit = np.zeros(len(found), bool)
