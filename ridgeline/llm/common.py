@@ -34,11 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends here and survives lost executors."""
+def stage(df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: lineage ends here and survives lost executors.
+
+    ``dictionary``: no use where values are long and hardly repeat.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ridgeline/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -187,8 +190,16 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of 2000 rows and 16 MB at most, unless the session says otherwise: long texts then need no more memory."""
+    for key, usual, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(16 << 20))):
+        if spark.conf.get(key, None) in (usual, None) or usual is None:
+            spark.conf.set(key, most)
+
+
 def clean(docs: DataFrame, *extra: str) -> DataFrame:
     """doc_id, text and what else is named, whatever other columns there are."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
 
 

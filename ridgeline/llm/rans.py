@@ -15,8 +15,8 @@ import numpy as np
 
 BITS = 18
 LOW = np.uint64(1 << 31)
-LANES = 1024
-CHECKPOINT_STEPS = 256
+LANES = 2048
+CHECKPOINT_STEPS = 128
 MAGIC = b"RLRANS1\0"
 _HEAD = struct.Struct("<8sIIIIIIIq")
 _32 = np.uint64(32)

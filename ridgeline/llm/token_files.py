@@ -48,7 +48,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int, spaced: bool) -> Dat
                 yield pa.record_batch([pa.array(np.full(len(n), part, np.int32)), pa.array(places), batch.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())], schema=schema)
 
     ordered = clean(docs).repartitionByRange(2 * shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return stage(ordered.mapInArrow(run, _TOKENS), "tokens")
+    return stage(ordered.mapInArrow(run, _TOKENS), "tokens", dictionary=False)
 
 
 def count_symbols(tokens: DataFrame, dtype: np.dtype, n_symbols: int) -> np.ndarray:
@@ -59,10 +59,10 @@ def count_symbols(tokens: DataFrame, dtype: np.dtype, n_symbols: int) -> np.ndar
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slices * _SLICE, np.int64)
         for batch in it:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), dtype), minlength=len(total)) if len(ids.as_buffer()) > 50_000 else 0
-            short = b"".join(x.as_py() for x in batch.column(0) if len(x.as_buffer()) <= 50_000)
-            total += np.bincount(np.frombuffer(short, dtype), minlength=len(total))
+            column = batch.column(0)
+            _, offsets, data = column.buffers()
+            cut = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+            total += np.bincount(np.frombuffer(data, np.uint8)[cut[0] : cut[-1]].view(dtype), minlength=len(total))
         share = TaskContext.get().partitionId() % 64
         for s in np.flatnonzero(total.reshape(slices, _SLICE).any(1)):
             yield pa.record_batch([pa.array([s], pa.int32()), pa.array([share], pa.int32()), pa.array([total[s * _SLICE : (s + 1) * _SLICE].tobytes()], pa.binary())], schema=schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import Words, clean, fold, platt, sampled_labels, slices, utf8
+from ridgeline.llm.common import Words, bound_batches, clean, fold, platt, sampled_labels, slices, utf8
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 6000
@@ -181,6 +181,7 @@ def classify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     Null and empty texts are scored as texts without words; repeated rows and null ids stay; columns not named are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by SLOT_BITS, DIMS and FILTERS
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in keep if c not in ("doc_id", "text")])
     names = ["doc_id", *keep, "score", "predicted"]
     kind = ", ".join([f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names[:-2]] + ["score double", "predicted int"])
