@@ -34,7 +34,7 @@ def text_nodes_of(nodes: DataFrame) -> DataFrame:
 
 def graph_edges(spark: SparkSession, path: str) -> DataFrame:
     """(src, dst, rel, edge_pos) in the order of the file, which is read as one array."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.from_json("value", f"array<struct<{EDGES.replace(' ', ':').replace(',:', ',')}>>").alias("e"))
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{EDGES.replace(' ', ':').replace(',:', ',')}>>").alias("e"))
     return whole.select(F.posexplode("e").alias("edge_pos", "e")).select(F.col("e.source").alias("src"), F.col("e.target").alias("dst"), F.col("e.type").alias("rel"), F.col("edge_pos").cast("long"))
 
 
@@ -163,7 +163,7 @@ def qasper_chunks(papers: DataFrame) -> DataFrame:
 
 def marked_labels(spark: SparkSession, path: str, axes: list[str]) -> DataFrame:
     """(pair_id, axis, label, problem) of a Markdown form: ``## pair``, then ``axis:`` lines with one box checked among A, B, equal."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line"))
     order = Window.orderBy("pos")  # a form that a person fills in
     pair = F.last(F.nullif(F.regexp_extract("line", r"^##\s+(\S+)", 1), F.lit("")), True).over(order)
     axis = F.last(F.nullif(F.regexp_extract(F.lower("line"), "^\\W*(" + "|".join(axes) + r")\b", 1), F.lit("")), True).over(order)

@@ -67,7 +67,7 @@ def test_chunk_order(spark):
     assert [r["id"] for r in df.orderBy(T.chunk_order(F.col("id"))).collect()] == ["x.1.2", "x.1.10", "abc"]
 
 
-@pytest.mark.parametrize("a,b,want", [([1.0, 0], [1.0, 0], 1), ([1.0, 0], [0, 1.0], 0), ([1.0, 0], None, -1), ([1.0, 0], [0.0, 0], -1), ([1.0, 0], [5.0, 0], 1)])
+@pytest.mark.parametrize("a,b,want", [([1.0, 0.0], [1.0, 0.0], 1), ([1.0, 0.0], [0.0, 1.0], 0), ([1.0, 0.0], None, -1), ([1.0, 0.0], [0.0, 0.0], -1), ([1.0, 0.0], [5.0, 0.0], 1)])
 def test_cosine(spark, a, b, want):
     df = spark.createDataFrame([(a, b)], "a array<double>, b array<double>")
     assert math.isclose(df.select(V.cosine(F.col("a"), F.col("b")).alias("x")).first()["x"], want)
