@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import Words, clean, gram_rows, grams, slices, utf8
+from ridgeline.llm.common import Words, clean, gram_rows, grams, release, slices, utf8
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -130,6 +130,7 @@ def _broadcast(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not made:
             made.append(Sketches(*shared.value))
+        release()
         for batch in it:
             if got := made[0].matches(batch.column("text")):
                 n = [len(made[0].sets[k]) for _, k, _ in got]

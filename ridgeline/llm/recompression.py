@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import MULT, MULT2, U64, Words, by_bucket, chunked, gram_rows, grams, group_min, member, mix, shuffle_partitions, slices, utf8
+from ridgeline.llm.common import MULT, MULT2, U64, Words, by_bucket, chunked, gram_rows, grams, group_min, member, mix, release, shuffle_partitions, slices, utf8
 
 WINDOW = 13
 ROUNDS = 3
@@ -115,6 +115,7 @@ def witnesses(words: Words, window: int, at: np.ndarray, own: np.ndarray) -> np.
 
 def _texts(group: pa.Table, limit: int = 1 << 20) -> Iterator[tuple[Words, np.ndarray, int, int]]:
     """(words, id of each text; nulls as the least number, rows i to j) for runs of the group's texts."""
+    release()
     data, offsets = utf8(group.column("text"))
     ids = group.column("doc_id").combine_chunks().fill_null(-(2**63)).to_numpy()
     for i, j in slices(offsets, limit):

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm.common import BYTE_KEY, MULT, MULT2, U64, by_bucket, chunked, mix, shuffle_partitions, slices, stage, utf8
+from ridgeline.llm.common import BYTE_KEY, MULT, MULT2, U64, by_bucket, chunked, mix, release, shuffle_partitions, slices, stage, utf8
 
 LENGTH = 400
 ANCHOR = 160
@@ -211,6 +211,7 @@ class Regions:
 
 
 def _texts(group: pa.Table, length: int, anchor: int, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, Regions, int, int]]:
+    release()
     data, offsets = utf8(group.column("text"))
     for i, j in slices(offsets, limit):
         part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import Words, bound_batches, clean, fold, platt, sampled_labels, slices, utf8
+from ridgeline.llm.common import Words, bound_batches, clean, fold, platt, release, sampled_labels, slices, utf8
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 6000
@@ -187,6 +187,7 @@ def classify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     kind = ", ".join([f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names[:-2]] + ["score double", "predicted int"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in it:
             data, offsets = utf8(batch.column("text"))
             for i, j in slices(offsets, 1 << 19):
