@@ -20,6 +20,7 @@ CHECKPOINT_STEPS = 128
 MAGIC = b"RLRANS1\0"
 _HEAD = struct.Struct("<8sIIIIIIIq")
 _32 = np.uint64(32)
+_FULL = np.uint64(31 - BITS + 32)  # a state this far above its symbol's frequency gives 32 bits away first
 
 
 @dataclass
@@ -32,7 +33,9 @@ class Table:
         self.freq = self.freq.astype(np.uint64)
         self.low = np.cumsum(self.freq) - self.freq
         self.symbol = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
-        self.limit = self.freq * np.uint64((1 << 31 >> BITS) << 32)
+        self.rest = np.uint64(1 << BITS) - self.freq
+        self.times = self.freq[self.symbol]  # by slot: frequency of its symbol, and its place among the symbol's slots
+        self.place = np.arange(1 << BITS, dtype=np.uint64) - self.low[self.symbol]
         self.crc = zlib.crc32(self.freq.astype("<u4").tobytes())
 
     @classmethod
@@ -65,22 +68,25 @@ def encode(ids: np.ndarray, table: Table, doc_ids: np.ndarray, lengths: np.ndarr
     steps = -(-n // lanes)
     x = np.full(lanes, LOW, np.uint64)
     words, emitted, marks = [], 0, []
-    freq, low, limit = table.freq, table.low, table.limit
+    freq, low, rest = table.freq, table.low, table.rest
     if n and int(freq[ids].min()) == 0:
         raise ValueError("a symbol that the table does not have")
+    symbols = ids.astype(np.intp)
     for t in range(steps - 1, -1, -1):
-        s = ids[t * lanes : (t + 1) * lanes]
+        s = symbols[t * lanes : (t + 1) * lanes]
         m = len(s)
         y = x[:m]
         f = freq[s]
-        over = y >= limit[s]
-        out = y[over]
-        if len(out):
+        over = np.flatnonzero((y >> _FULL) >= f)
+        if len(over):
+            out = y[over]
             words.append(out.astype("<u4"))
             emitted += len(out)
-            y = np.where(over, y >> _32, y)
+            y[over] = out >> _32
         q = y // f
-        x[:m] = (q << np.uint64(BITS)) + (y - q * f) + low[s]
+        q *= rest[s]
+        y += q
+        y += low[s]
         if t and t % CHECKPOINT_STEPS == 0:
             marks.append((t, emitted, x.astype("<u8").tobytes()))
     stream = np.concatenate(words[::-1]).tobytes() if words else b""
@@ -133,16 +139,15 @@ class Block:
         last = self.points[after][0] if after < len(self.points) else -(-self.n // self.lanes)
         x = states.astype(np.uint64)
         out = np.empty(min(self.n, last * self.lanes) - t * self.lanes, np.uint32)
-        freq, low, symbol, stream = table.freq, table.low, table.symbol, self.stream
+        times, slots, symbol, stream = table.times, table.place, table.symbol, self.stream
         mask, done = np.uint64((1 << BITS) - 1), 0
         for step in range(t, last):
             m = min(self.lanes, self.n - step * self.lanes)
             y = x[:m]
-            slot = y & mask
-            s = symbol[slot]
-            out[done : done + m] = s
+            slot = (y & mask).view(np.int64)
+            out[done : done + m] = symbol[slot]
             done += m
-            y = freq[s] * (y >> np.uint64(BITS)) + slot - low[s]
+            y = times[slot] * (y >> np.uint64(BITS)) + slots[slot]
             under = np.flatnonzero(y < LOW)
             if len(under):
                 y[under] = (y[under] << _32) | stream[place : place + len(under)].astype(np.uint64)
