@@ -39,11 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends here and survives lost executors.
 
-    ``dictionary``: no use where values are long and hardly repeat.
+    ``dictionary``: no use where values are long and hardly repeat; those are compressed lightly, too.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ridgeline/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
+    df.write.option("compression", "zstd" if dictionary else "snappy").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -119,4 +119,4 @@ class Encoder:
 @functools.lru_cache(2)
 def encoder(name: str, spaced: bool) -> Encoder:
     """One encoder for all tasks of a Python worker, with what it has cached so far."""
-    return Encoder(name, spaced, 800_000 if spaced else 300_000)
+    return Encoder(name, spaced, 1_500_000 if spaced else 300_000)
