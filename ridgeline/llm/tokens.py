@@ -2,7 +2,8 @@
 
 Both vocabularies split text at white space before they merge anything, so what lies between two spaces always gets the
 same ids. A bounded cache keeps the ids of the pieces seen; those not in it reach the library many at a time, and their
-ids are cut apart again. Texts where white space follows white space are encoded whole if white space stays in the ids.
+ids are cut apart again. Texts where white space follows white space are encoded whole if white space stays in the ids,
+and so are texts that hold an added token such as <|endoftext|>, which the library takes out before it splits.
 """
 
 from __future__ import annotations
@@ -39,7 +40,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        self.all_whole = any(" " in t.content or t.normalized for t in added)  # such tokens show in the normalised text only, or across pieces
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 65536 else "<u4")
         self.spaced, self.limit = spaced, cache_pieces
@@ -55,6 +58,9 @@ class Encoder:
     def _odd(self, piece: str) -> bool:
         return not piece or piece[0].isspace() or piece[-1].isspace() or piece[0] == _ALSO_SPACE or piece[-1] == _ALSO_SPACE
 
+    def _holds_added(self, text: str) -> bool:
+        return self.all_whole or any(a in text for a in self.added)
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -87,7 +93,8 @@ class Encoder:
             self.cache.update(zip(alone, self._ids([" " + p if self.spaced else p for p in alone])))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [t.split(" ") if t else [] for t in texts]
+        whole = [bool(t) and self._holds_added(t) for t in texts]
+        split = [t.split(" ") if t and not w else [] for t, w in zip(texts, whole)]
         if len(self.cache) > self.limit:
             self.cache.clear()
         if len(self.heads) > 20_000:
@@ -104,6 +111,8 @@ class Encoder:
         for i, pieces in enumerate(split):
             if not texts[i]:
                 yield b""
+            elif whole[i]:
+                yield self._ids([texts[i]])[0]
             elif not self.spaced:
                 yield b"".join(map(get, pieces))
             else:
