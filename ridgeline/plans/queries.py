@@ -336,9 +336,10 @@ def gold_lines(spark, d):
 
 @query
 def snippet_match(spark, d):
-    """The first line of every benchmark item against the lines of the documents that BM25 puts first."""
+    """Every line of every benchmark item, by its place there, against the lines of the document that BM25 puts first; blank lines are none."""
     docs = hybrid.first_documents(_bm25(spark, d, 10).select("qid", F.col("id").alias("doc_id"), "rank"), 1)
-    snippets = docs.join(D.queries(spark, d), "qid").select("qid", F.lit(0).alias("snippet_id"), "doc_id", F.split("query", "\n")[0].alias("snippet"))
+    lines = D.queries(spark, d).select("qid", F.posexplode(F.split("query", "\n")).alias("snippet_id", "snippet")).where(T.strip(F.col("snippet")) != "")
+    snippets = lines.join(docs, "qid", "left").select("qid", "snippet_id", "doc_id", "snippet")
     chunks = D.text_nodes(spark, d).select(F.col("node_id").alias("id"), "doc_id", "text")
     return rounded(gold.snippet_matches(snippets, chunks), "score")
 
