@@ -22,6 +22,8 @@ STOP_WORDS = [
 CAPTION_WORDS = ["рисунок", "таблица", "figure", "table", "диаграмма", "схема", "листинг"]
 INCOMPLETE = [r"\(см\.\s*$", r"см\.\s*рисунок\s*\d+\)\s*:$", r"см\.\s*подробнее.*$", r"в\s+разделе\s*$", r"в\s+разделе\s*\(?$"]
 TOKEN_OR_SIGN = r"(?U)\w+|[^\w\s]"
+PLACEHOLDER = r"(?i)\b(?:BIBREF|FIGREF|TABREF)\d+\b"
+LETTERS_DIGITS = "[a-z0-9а-яё]+"
 
 
 def stem_pattern() -> str:
@@ -117,7 +119,7 @@ def strip_page_number(c: Column) -> Column:
 
 def normalize_evidence(c: Column) -> Column:
     """Lower case without citation placeholders, white space collapsed."""
-    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?:BIBREF|FIGREF|TABREF)\d+", " ")
+    t = F.regexp_replace(F.coalesce(c, F.lit("")), "(?U)" + PLACEHOLDER, " ")
     return strip(F.regexp_replace(F.lower(t), r"(?U)\s+", " "))
 
 
@@ -140,6 +142,11 @@ def count_tokens(c: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TOKEN_OR_SIGN), F.lit(0)))
 
 
+def count_runs(c: Column) -> Column:
+    """Runs of letters and digits of a text in lower case."""
+    return F.size(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(LETTERS_DIGITS), F.lit(0)))
+
+
 def section_key(c: Column) -> Column:
     """Section of a chunk id: ``D_abstract`` is in ``D.abstract``, ``D.1.2`` in ``D.1``; others stand for themselves."""
     return F.when(c.endswith("_abstract"), F.regexp_replace(c, "_abstract$", ".abstract")).otherwise(F.regexp_replace(c, r"^(.*)\.(\d+)\.(\d+)$", "$1.$2"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import text as T
+from ridgeline.staging import stage
 
 SEPARATOR = " ::: "
 NODE = ["id", "type", "text", "level", "order", "doc_id"]
@@ -47,25 +48,27 @@ def paper_graph(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, found.unionByName(edges(paragraphs, F.col("section"), F.concat_ws(".", "section", "p"), "HAS_CHUNK", F.col("p")))
 
 
-def chunk_graph(chunks: DataFrame, depth: int = 8) -> tuple[DataFrame, DataFrame]:
+def chunk_graph(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of structured chunks: each prefix of a section path is a section, numbered under its parent by first appearance.
 
     chunks: (pmcid, source_type, section_path, paragraph_index, chunk_index, chunk_id, text). Chunks without a path hang on the
-    document, those of the abstract on ``pmcid.abstract``. ``depth``: levels of sections at most.
+    document, those of the abstract on ``pmcid.abstract``. Paths may be of any length: a round names one level of sections.
     """
     rows = chunks.withColumn("at", F.struct("paragraph_index", "chunk_index"))
-    path = F.when(F.col("source_type") == "abstract", F.array(F.lit("abstract"))).otherwise(F.slice("section_path", 1, depth))
+    path = F.when(F.col("source_type") == "abstract", F.array(F.lit("abstract"))).otherwise(F.coalesce("section_path", F.array().cast("array<string>")))
     rows = rows.withColumn("path", path)
     prefixes = rows.select("pmcid", "at", "source_type", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("path"))), lambda k: F.slice("path", 1, k))).alias("path")).where(F.size("path") > 0)
     found = prefixes.groupBy("pmcid", "path").agg(F.min("at").alias("first"), F.first("source_type").alias("source_type"))
     found = found.withColumn("above", F.expr("slice(path, 1, size(path) - 1)")).withColumn("level", F.size("path"))
     number = F.row_number().over(Window.partitionBy("pmcid", "above", F.col("source_type") == "abstract").orderBy("first")) - 1
     found = found.withColumn("step", F.when(F.col("source_type") == "abstract", "abstract").otherwise(number.cast("string")))
+    found = stage(found, "prefixes")
     ids = found.where("level = 1").select("pmcid", "path", "first", "level", F.concat_ws(".", "pmcid", "step").alias("id"), F.col("pmcid").alias("parent"))
-    level = ids
-    for k in range(2, depth + 1):  # an id is its parent's and a number
+    level, deepest = stage(ids, "level"), found.agg(F.max("level")).first()[0] or 0
+    ids = level
+    for k in range(2, deepest + 1):  # an id is its parent's and a number
         up = level.select("pmcid", F.col("path").alias("above"), F.col("id").alias("parent"))
-        level = found.where(F.col("level") == k).join(up, ["pmcid", "above"]).select("pmcid", "path", "first", "level", F.concat_ws(".", "parent", "step").alias("id"), "parent")
+        level = stage(found.where(F.col("level") == k).join(up, ["pmcid", "above"]).select("pmcid", "path", "first", "level", F.concat_ws(".", "parent", "step").alias("id"), "parent"), "level")
         ids = ids.unionByName(level)
     root = rows.select("pmcid").distinct()
     held = rows.join(ids.select("pmcid", "path", F.col("id").alias("section")), ["pmcid", "path"], "left").withColumn("section", F.coalesce("section", "pmcid"))
@@ -78,6 +81,40 @@ def chunk_graph(chunks: DataFrame, depth: int = 8) -> tuple[DataFrame, DataFrame
     return nodes, tree.unionByName(kept).withColumn("edge_pos", order.cast("long")).drop("first")
 
 
+def ancestors(tree: DataFrame) -> DataFrame:
+    """(section_id, above, key): every section with itself and all that are above it, and the places on the way down from there.
+
+    tree: (section_id, parent_id, child_pos). A round goes one level up for all sections at once and ends at the roots, however deep.
+    """
+    up = stage(tree.select(F.col("section_id").alias("_s"), F.col("parent_id").alias("_p"), F.col("child_pos").cast("long").alias("_c")), "tree")
+    here = stage(up.select(F.col("_s").alias("section_id"), F.col("_s").alias("above"), F.array().cast("array<bigint>").alias("key")), "ancestors")
+    found = here
+    while True:
+        above = here.join(up, F.col("above") == F.col("_s")).where("_p IS NOT NULL")
+        here = stage(above.select("section_id", F.col("_p").alias("above"), F.concat(F.array("_c"), "key").alias("key")), "ancestors")
+        if here.isEmpty():
+            return found
+        found = found.unionByName(here)
+
+
+def subtree_texts(sections: DataFrame) -> DataFrame:
+    """(section_id, subtree_text): local texts of a section and all below it in pre-order, blank ones left out.
+
+    sections: (section_id, parent_id, child_pos, local_text), a forest of any depth.
+    """
+    rows = ancestors(sections).join(sections.select("section_id", "local_text"), "section_id")
+    kept = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("key", "local_text"))), lambda x: x["local_text"]), lambda t: t != "")
+    return rows.groupBy(F.col("above").alias("section_id")).agg(F.array_join(kept, "\n").alias("subtree_text"))
+
+
+def section_paths(sections: DataFrame, name: str = "section_id") -> DataFrame:
+    """(section_id, path): ``name`` of all sections from the root to this one."""
+    names = sections.select(F.col("section_id").alias("above"), F.col(name).alias("_name"))
+    rows = ancestors(sections).join(names, "above")
+    steps = F.transform(F.array_sort(F.collect_list(F.struct((-F.size("key")).alias("at"), "_name"))), lambda x: x["_name"])
+    return rows.groupBy("section_id").agg(steps.alias("path"))
+
+
 def evidence(papers: DataFrame) -> DataFrame:
     """(qid, doc_id, evidence) of all annotators' evidence, each normalised text once in its first spelling. papers: (id, qas)."""
     qas = F.arrays_zip(F.col("qas.question_id").alias("question_id"), F.col("qas.answers").alias("answers"))

@@ -2,79 +2,85 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.config import Drill, Expand, Score
 from ridgeline.functions import text as T
 from ridgeline.functions import vectors as V
+from ridgeline.operators import dense
+from ridgeline.staging import stage
 
 #: Hops of a node that the walk did not reach, and the score of a node that does not exist.
 FAR, MISSING = 999, -999.0
 
 
-def section_scores(sections: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, section_id, parent_id, child_pos, level, has_text, local, subtree): similarities, -1 without a vector.
-
-    sections: (section_id, parent_id, child_pos, level, local_text, e_local, e_subtree); queries: (qid, qvec), a stated set
-    that meets all sections.
-    """
-    pairs = sections.join(F.broadcast(queries))
-    return pairs.select("qid", "section_id", "parent_id", "child_pos", "level", (T.strip(F.col("local_text")) != "").alias("has_text"), V.cosine(F.col("qvec"), F.col("e_local")).alias("local"), V.cosine(F.col("qvec"), F.col("e_subtree")).alias("subtree"))
+def roots(sections: DataFrame, queries: DataFrame, config: Drill = Drill()) -> DataFrame:
+    """(qid, section_id, subtree, rank): the best level-1 sections, the only ones that every query is scored against."""
+    level = sections.where("level = 1").select(F.col("section_id").alias("id"), F.col("e_subtree").alias("embedding"))
+    return dense.top_k(level, queries, config.top_r).select("qid", F.col("id").alias("section_id"), F.col("score").alias("subtree"), "rank")
 
 
-def roots(scores: DataFrame, config: Drill = Drill()) -> DataFrame:
-    """(qid, section_id, subtree, rank): the best level-1 sections."""
-    order = Window.partitionBy("qid").orderBy(F.round("subtree", 6).desc(), "section_id")
-    return scores.where("level = 1").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.top_r).select("qid", "section_id", "subtree", "rank")
+def _both(sections: DataFrame) -> DataFrame:
+    return sections.select(F.col("section_id").alias("id"), F.explode(F.array("e_local", "e_subtree")).alias("embedding"))
 
 
-def drill(scores: DataFrame, config: Drill = Drill(), depth: int = 8) -> DataFrame:
-    """(qid, section_id, local): seeds.
+def drill(sections: DataFrame, queries: DataFrame, config: Drill = Drill()) -> DataFrame:
+    """(qid, section_id, local): seeds, from the roots down to where nothing is left to open, however deep.
 
-    Which sections are seeds and which edges may be walked depends on scores only, so both are columns; then one join a tree
-    level follows open edges from the roots. ``depth``: tree levels at most.
+    A section with text is a seed if its own similarity is high enough and not far below its best child's; else its best
+    children are opened. A tree level is one join from the open sections to their children, which alone are
+    scored; each level is staged. The percentile mode needs the extremes of all scores: one pass of block products.
+    sections: (section_id, parent_id, child_pos, level, local_text, e_local, e_subtree); queries: (qid, qvec).
     """
-    scores = scores.select("qid", "section_id", "parent_id", "child_pos", "level", "has_text", F.round("local", 6).alias("local"), F.round("subtree", 6).alias("subtree"))
+    rows = sections.select("section_id", "parent_id", "child_pos", (T.strip(F.col("local_text")) != "").alias("has_text"), "e_local", "e_subtree")
+    limits = stage(dense.extremes(_both(sections), queries), "limits") if config.threshold_mode == "percentile" else None
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        local, subtree = V.cosine(F.col("qvec"), F.col("e_local")), V.cosine(F.col("qvec"), F.col("e_subtree"))
+        found = pairs.join(queries.select("qid", "qvec"), "qid").withColumn("local", F.round(local, 6)).withColumn("subtree", F.round(subtree, 6)).drop("e_local", "e_subtree", "qvec")
+        return found.join(limits, "qid", "left") if limits is not None else found
+
+    def scaled(x: Column) -> Column:
+        return x if limits is None else F.when(F.col("qmax") > F.col("qmin"), (x - F.col("qmin")) / (F.col("qmax") - F.col("qmin"))).otherwise(x)
+
     siblings = Window.partitionBy("qid", "parent_id")
-    ordered = siblings.orderBy(F.col("subtree").desc(), "child_pos")
-    child = scores.where("parent_id IS NOT NULL").withColumn("n", F.count("*").over(siblings)).withColumn("pos", F.row_number().over(ordered)).withColumn("best", F.max("subtree").over(siblings))
-    best = child.groupBy("qid", F.col("parent_id").alias("section_id")).agg(F.max("subtree").alias("best_child"))
-    known = F.array_compact(F.array(F.when(F.col("local") > -1, F.col("local")), F.when(F.col("subtree") > -1, F.col("subtree"))))
-    limits = scores.groupBy("qid").agg(F.min(F.array_min(known)).alias("qmin"), F.max(F.array_max(known)).alias("qmax"))
-
-    def scaled(x):
-        if config.threshold_mode != "percentile":
-            return x
-        return F.when(F.col("qmax") > F.col("qmin"), (x - F.col("qmin")) / (F.col("qmax") - F.col("qmin"))).otherwise(x)
-
-    flagged = scores.join(best, ["qid", "section_id"], "left").join(limits, "qid")
-    seed = F.col("has_text") & (scaled(F.col("local")) >= config.tau_local) & (F.col("local") >= F.coalesce("best_child", F.lit(-1.0)) - config.margin)
-    flagged = flagged.withColumn("is_seed", seed)
     if config.threshold_mode == "rank":
         taken = F.col("pos") <= F.greatest(F.lit(1), F.ceil(F.col("n") * config.rank_top_p))
     else:
         taken = (F.col("pos") <= config.top_k) & (scaled(F.col("best")) >= config.tau_child)
-    stops = flagged.where("is_seed").select("qid", F.col("section_id").alias("parent_id"))
-    open_ = child.join(limits, "qid").where(taken).join(stops, ["qid", "parent_id"], "left_anti").select("qid", "parent_id", "section_id")
-    reached = frontier = roots(scores, config).select("qid", "section_id")
-    for _ in range(depth):
-        frontier = open_.join(frontier.withColumnRenamed("section_id", "parent_id"), ["qid", "parent_id"]).select("qid", "section_id")
-        reached = reached.unionByName(frontier)
-    return flagged.where("is_seed").join(reached.distinct(), ["qid", "section_id"], "left_semi").select("qid", "section_id", "local")
+    open_ = stage(scored(roots(sections, queries, config).select("qid", "section_id").join(rows, "section_id")), "open")
+    reached, seeds = open_.select("qid", "section_id"), None
+    while True:
+        children = scored(open_.select("qid", F.col("section_id").alias("parent_id")).join(rows, "parent_id"))
+        children = children.withColumn("n", F.count("*").over(siblings)).withColumn("pos", F.row_number().over(siblings.orderBy(F.col("subtree").desc(), "child_pos"))).withColumn("best", F.max("subtree").over(siblings))
+        children = stage(children, "children")
+        best = children.groupBy("qid", F.col("parent_id").alias("section_id")).agg(F.max("subtree").alias("best_child"))
+        seed = F.col("has_text") & (scaled(F.col("local")) >= config.tau_local) & (F.col("local") >= F.coalesce("best_child", F.lit(-1.0)) - config.margin)
+        own = open_.join(best, ["qid", "section_id"], "left").where(seed).select("qid", "section_id", "local")
+        seeds = own if seeds is None else seeds.unionByName(own)
+        stops = own.select("qid", F.col("section_id").alias("parent_id"))
+        below = children.where(taken).join(stops, ["qid", "parent_id"], "left_anti").join(reached, ["qid", "section_id"], "left_anti")
+        open_ = stage(below.drop("n", "pos", "best"), "open")
+        if open_.isEmpty():
+            return seeds.distinct()
+        reached = reached.unionByName(open_.select("qid", "section_id"))
 
 
 def expand(seeds: DataFrame, edges: DataFrame, config: Expand = Expand()) -> DataFrame:
-    """(qid, node, dist): nodes within ``max_depth`` hops, without a limit on their number.
+    """(qid, node, dist): nodes within ``max_depth`` hops, without a limit on their number; each level is staged and has new nodes only.
 
     seeds: (qid, node, rank); edges: (src, dst, rel, edge_pos).
     """
-    edges = _allowed(edges, config)
-    found = frontier = seeds.select("qid", "node", F.lit(0).alias("dist"))
+    edges = _allowed(edges, config).select("src", F.col("dst").alias("node"))
+    found = frontier = stage(seeds.select("qid", "node").distinct().withColumn("dist", F.lit(0)), "frontier")
     for d in range(1, config.max_depth + 1):
-        frontier = frontier.join(edges, frontier["node"] == edges["src"]).select("qid", F.col("dst").alias("node"), F.lit(d).alias("dist")).distinct()
+        near = frontier.select("qid", F.col("node").alias("src")).join(edges, "src").select("qid", "node").distinct()
+        frontier = stage(near.join(found.select("qid", "node"), ["qid", "node"], "left_anti").withColumn("dist", F.lit(d)), "frontier")
+        if frontier.isEmpty():
+            break
         found = found.unionByName(frontier)
-    return found.groupBy("qid", "node").agg(F.min("dist").alias("dist"))
+    return found
 
 
 def _allowed(edges: DataFrame, config: Expand) -> DataFrame:
@@ -88,20 +94,25 @@ def expand_capped(seeds: DataFrame, edges: DataFrame, config: Expand = Expand())
     edge that reaches it; the first that fit under the limit join. Edges count up to the one that found the last node.
     """
     edges = _allowed(edges, config)
-    nodes = seeds.select("qid", "node", F.lit(0).alias("dist"), F.col("rank").cast("long").alias("rank"))
+    nodes = frontier = stage(seeds.select("qid", "node", F.lit(0).alias("dist"), F.col("rank").cast("long").alias("rank")), "frontier")
     traversed = None
-    frontier = nodes
     for d in range(1, config.max_depth + 1):
-        have = nodes.groupBy("qid").agg(F.count("*").alias("have"), F.max("rank").alias("last"))
-        scan = frontier.join(have.where(F.col("have") < config.max_nodes), "qid").join(edges, frontier["node"] == edges["src"])
-        scan = scan.withColumn("at", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "edge_pos", "dst"))).select("qid", "src", "dst", "rel", "at", "have", "last")
-        first = scan.groupBy("qid", F.col("dst").alias("node")).agg(F.min("at").alias("at"), F.first("have").alias("have"), F.first("last").alias("last")).join(nodes, ["qid", "node"], "left_anti")
-        fresh = first.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("at"))).where(F.col("k") <= config.max_nodes - F.col("have"))
-        cut = fresh.groupBy("qid").agg(F.max("k").alias("got"), F.max("at").alias("cut"), F.first("have").alias("h"))
-        seen = scan.join(cut, "qid", "left").where((F.coalesce("h", F.lit(0)) + F.coalesce("got", F.lit(0)) < config.max_nodes) | (F.col("at") <= F.col("cut")))
-        rows = seen.select("qid", "src", "dst", "rel", F.lit(d).alias("dist"))
+        have = nodes.groupBy("qid").agg(F.count("*").alias("have"), F.max("rank").alias("last")).where(F.col("have") < config.max_nodes)
+        scan = frontier.select("qid", F.col("node").alias("src"), "rank").join(have, "qid").join(edges, "src")
+        at = F.row_number().over(Window.partitionBy("qid").orderBy("rank", "edge_pos", "dst"))
+        known = nodes.select("qid", F.col("node").alias("dst"), F.lit(True).alias("known"))
+        scan = scan.withColumn("at", at).join(known, ["qid", "dst"], "left")
+        first = F.col("known").isNull() & (F.row_number().over(Window.partitionBy("qid", "dst").orderBy("at")) == 1)
+        scan = scan.withColumn("first", first).withColumn("k", F.when(F.col("first"), F.sum(F.col("first").cast("long")).over(Window.partitionBy("qid").orderBy("at"))))
+        room = config.max_nodes - F.col("have")
+        # the edge that finds the last node that fits is the last one counted
+        scan = scan.withColumn("cut", F.min(F.when(F.col("k") == room, F.col("at"))).over(Window.partitionBy("qid"))).where(F.col("cut").isNull() | (F.col("at") <= F.col("cut")))
+        level = stage(scan.select("qid", "src", "dst", "rel", "k", "last"), "level")
+        rows = level.select("qid", "src", "dst", "rel", F.lit(d).alias("dist"))
         traversed = rows if traversed is None else traversed.unionByName(rows)
-        frontier = fresh.select("qid", "node", F.lit(d).alias("dist"), (F.col("last") + F.col("k")).alias("rank"))
+        frontier = level.where("k IS NOT NULL").select("qid", F.col("dst").alias("node"), F.lit(d).alias("dist"), (F.col("last") + F.col("k")).alias("rank"))
+        if frontier.isEmpty():
+            break
         nodes = nodes.unionByName(frontier)
     return nodes, traversed
 
@@ -113,10 +124,12 @@ def node_scores(nodes: DataFrame, queries: DataFrame, levels: DataFrame, distanc
     which only the nodes in it are scored, or None for all nodes.
     """
     if distances is None:
-        pairs = nodes.join(F.broadcast(queries)).withColumn("dist", F.lit(FAR))
+        found = dense.scores(nodes.select(F.col("node_id").alias("id"), "embedding"), queries).withColumnRenamed("id", "node_id")
+        pairs = found.join(nodes.select("node_id", "section_id", "node_type"), "node_id").withColumn("dist", F.lit(FAR))
+        sim = F.col("score")
     else:
-        pairs = nodes.join(distances, nodes["node_id"] == distances["node"]).join(F.broadcast(queries), "qid")
-    sim = V.cosine(F.col("qvec"), F.col("embedding"))
+        pairs = distances.withColumnRenamed("node", "node_id").join(nodes, "node_id").join(queries.select("qid", "qvec"), "qid")
+        sim = V.cosine(F.col("qvec"), F.col("embedding"))
     if config.mode == "text_only":
         return pairs.select("qid", "node_id", "section_id", "node_type", sim.alias("score"))
 

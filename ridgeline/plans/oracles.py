@@ -71,7 +71,7 @@ def noise(x: str) -> str:
 
 
 def evidence(x: str) -> str:
-    return strip(f"regexp_replace(lower(regexp_replace(coalesce({x}, ''), '(?:BIBREF|FIGREF|TABREF)\\d+', ' ', 'g')), '\\s+', ' ', 'g')")
+    return strip(f"regexp_replace(lower(regexp_replace(coalesce({x}, ''), '{T.PLACEHOLDER}', ' ', 'g')), '\\s+', ' ', 'g')")
 
 
 WS = strip(r"regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n[ \t]+', chr(10), 'g')")
@@ -206,7 +206,7 @@ win AS (SELECT qid, mg.section_id, lo, hi, score, rk, anchors, list(node_id ORDE
 wr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, rk, lo) AS rank FROM win)"""
 GOLD = f"""ge AS (SELECT qid, query, {evidence('query')} AS n FROM q), gp AS (SELECT id, {evidence('text')} AS t FROM p),
 gx AS (SELECT DISTINCT qid, id FROM ge JOIN gp ON n = t WHERE n <> ''),
-gold AS (SELECT * FROM gx UNION SELECT qid, id FROM ge, gp WHERE length(n) >= 60 AND {n_tokens('n')} >= 5 AND qid NOT IN (SELECT qid FROM gx) AND t <> '' AND (contains(t, n) OR (contains(n, t) AND len(string_split(t, ' ')) >= 5)))"""
+gold AS (SELECT * FROM gx UNION SELECT qid, id FROM ge, gp WHERE length(n) >= 60 AND len(regexp_extract_all(n, '{T.LETTERS_DIGITS}')) >= 5 AND qid NOT IN (SELECT qid FROM gx) AND t <> '' AND (contains(t, n) OR contains(n, t)))"""
 GOLD_LINES = f"gl AS (SELECT qid, node_id AS id FROM gold JOIN q USING (qid) JOIN nodes ON nodes.doc_id = gold.id WHERE len(list_intersect({words('nodes.text')}, {words('query')}))::DOUBLE / len({words('query')}) >= 0.3)"
 
 
@@ -287,7 +287,7 @@ ORACLE_SQL: dict[str, str] = {
     "windows_flat_anchors": f"{_WR}, f AS (SELECT qid, 0 AS part, rank, unnest(anchors) AS node_id, unnest(range(len(anchors))) AS pos FROM wr UNION ALL SELECT qid, 1, rank, unnest(members), unnest(range(len(members))) FROM wr), m AS (SELECT qid, node_id, min(part * 100000000000 + rank * 100000 + pos) AS k FROM f GROUP BY 1, 2) SELECT qid, node_id, row_number() OVER (PARTITION BY qid ORDER BY k) AS rank FROM m",
     "first_stage_docs": f"WITH {P}, {Q}, {bm25(k=50)} SELECT qid, id AS doc_id, rank AS doc_rank FROM hits WHERE rank <= 5",
     "hybrid_chunks": f"WITH {node_scores(k=10, reach=f'{EDGES}, {P}, {Q}, {bm25(k=50)}, bfs AS (SELECT qid, node_id AS node, 0 AS dist FROM hits JOIN nodes ON doc_id = id WHERE rank <= 5)')} SELECT qid, node_id, section_id, node_type, round(score, 4) AS score, rank FROM top",
-    "gold_exact": f"WITH {NODES} SELECT DISTINCT a.doc_id AS qid, b.node_id AS id FROM nodes a JOIN nodes b ON {evidence('a.text')} = {evidence('b.text')} WHERE a.pos = 0 AND a.doc_id % 20 = 0 AND {evidence('a.text')} <> ''",
+    "gold_exact": f"WITH {NODES} SELECT DISTINCT a.node_id AS qid, b.node_id AS id FROM nodes a JOIN nodes b ON {evidence('a.text')} = {evidence('b.text')} WHERE a.doc_id % 20 = 0 AND {evidence('a.text')} <> ''",
     "gold_containment": f"WITH {P}, {Q}, {GOLD} SELECT qid, id FROM gold",
     "gold_lines": f"WITH {NODES}, {P}, {Q}, {GOLD}, {GOLD_LINES} SELECT qid, id FROM gl",
     "recall_mrr_ndcg_strict": f"WITH {P}, {Q}, {GOLD}, {bm25()}, {metrics('hits', 'gold')} SELECT {_MET}, retrieved FROM met",

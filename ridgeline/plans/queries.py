@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ridgeline.config import Drill, Expand, Score
 from ridgeline.functions import text as T
 from ridgeline.functions import vectors as V
-from ridgeline.operators import bm25, dense, evaluate, gold, hybrid, judge, ranking, walk, windows
+from ridgeline.operators import bm25, build, dense, evaluate, gold, hybrid, judge, ranking, walk, windows
 from ridgeline.operators import python_ops as P
 from ridgeline.plans import tables as D
+from ridgeline.staging import derived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 JUDGES = ["j1", "j2", "j3"]
@@ -72,16 +73,16 @@ def id_parsers(spark, d):
 
 @query
 def bm25_stats(spark, d):
-    return rounded(bm25.term_stats(D.passages(spark, d)), "idf")
+    return rounded(bm25.term_stats(D.passage_index(spark, d)), "idf")
 
 
 @query
 def bm25_corpus(spark, d):
-    return rounded(bm25.corpus_stats(D.passages(spark, d)), "avgdl")
+    return rounded(D.passage_index(spark, d).stats, "avgdl")
 
 
 def _bm25(spark, d, k=10):
-    return bm25.top_k(D.passages(spark, d), D.queries(spark, d), k)
+    return bm25.top_k(D.passage_index(spark, d), D.queries(spark, d), k)
 
 
 @query
@@ -91,12 +92,12 @@ def bm25_topk(spark, d):
 
 @query
 def bm25_rare_terms(spark, d):
-    return bm25.rare_terms(D.passages(spark, d), D.queries(spark, d), 2).select("qid", F.array_join("must", " ").alias("must"))
+    return bm25.rare_terms(D.passage_index(spark, d), D.queries(spark, d), 2).select("qid", F.array_join("must", " ").alias("must"))
 
 
 @query
 def bm25_heuristic(spark, d):
-    return rounded(bm25.heuristic(D.passages(spark, d), D.queries(spark, d)), "score")
+    return rounded(bm25.heuristic(D.passage_index(spark, d), D.passages(spark, d), D.queries(spark, d)), "score")
 
 
 def _vectors(spark, d):
@@ -123,14 +124,13 @@ def dense_label_metrics(spark, d):
     return found.groupBy("qid").agg(F.round(F.avg(F.when(F.col("label") == F.col("l2"), 1.0).otherwise(0.0)), 4).alias("precision"))
 
 
-def _text_vectors(df, text, out):
-    return V.hashed_tf(df, text, out)
+def _asked(spark, d):
+    """(qid, qvec)."""
+    return V.hashed_tf(D.queries(spark, d), "query", "qvec").select("qid", "qvec")
 
 
 def _dense_text(spark, d, k):
-    corpus = _text_vectors(D.passages(spark, d), "text", "embedding").select("id", "embedding")
-    asked = _text_vectors(D.queries(spark, d), "query", "qvec").select("qid", "qvec")
-    return dense.top_k(corpus, asked, k)
+    return dense.top_k(D.passage_vectors(spark, d), _asked(spark, d), k)
 
 
 @query
@@ -163,15 +163,12 @@ def section_local_text(spark, d):
 
 @query
 def section_subtree_text(spark, d):
-    return D.subtree_texts(D.sections(spark, d)).select("section_id", F.length("subtree_text").alias("n"), F.md5(F.col("subtree_text").cast("binary")).alias("digest"))
+    return D.sections(spark, d).select("section_id", F.length("subtree_text").alias("n"), F.md5(F.col("subtree_text").cast("binary")).alias("digest"))
 
 
 @query
 def section_path(spark, d):
-    s = D.sections(spark, d).select("section_id", "parent_id")
-    up = s.select(F.col("section_id").alias("p"), F.col("parent_id").alias("g"))
-    rows = s.join(up, s["parent_id"] == up["p"], "left")
-    return rows.select("section_id", F.array_join(F.array_compact(F.array("g", "parent_id", "section_id")), " > ").alias("path"))
+    return build.section_paths(D.sections(spark, d)).select("section_id", F.array_join("path", " > ").alias("path"))
 
 
 @query
@@ -182,21 +179,13 @@ def relation_histogram(spark, d):
 # Structured walk
 
 
-def _section_scores(spark, d):
-    s = D.sections(spark, d)
-    s = s.join(D.subtree_texts(s), "section_id")
-    s = V.hashed_tf(V.hashed_tf(s, "local_text", "e_local"), "subtree_text", "e_subtree")
-    asked = V.hashed_tf(D.queries(spark, d), "query", "qvec").select("qid", "qvec")
-    return walk.section_scores(s, asked)
-
-
 @query
 def drill_roots(spark, d):
-    return rounded(walk.roots(_section_scores(spark, d)), "subtree")
+    return rounded(walk.roots(D.section_vectors(spark, d), _asked(spark, d)), "subtree")
 
 
 def _seeds(spark, d, mode):
-    return rounded(walk.drill(_section_scores(spark, d), Drill(threshold_mode=mode), depth=2), "local")
+    return rounded(walk.drill(D.section_vectors(spark, d), _asked(spark, d), Drill(threshold_mode=mode)), "local")
 
 
 @query
@@ -236,10 +225,8 @@ def bfs_capped(spark, d):
 
 
 def _node_scores(spark, d, config):
-    nodes = V.hashed_tf(D.text_nodes(spark, d), "text", "embedding")
-    asked = V.hashed_tf(D.queries(spark, d), "query", "qvec").select("qid", "qvec")
     reached = walk.expand(_hit_sections(spark, d), D.edges(spark, d), Expand(max_depth=3))
-    return walk.top_nodes(walk.node_scores(nodes, asked, D.sections(spark, d), reached, config), 20)
+    return walk.top_nodes(walk.node_scores(D.node_vectors(spark, d), _asked(spark, d), D.sections(spark, d), reached, config), 20)
 
 
 @query
@@ -292,10 +279,8 @@ def first_stage_docs(spark, d):
 def hybrid_chunks(spark, d):
     """BM25 finds documents, the walk's scores rank the chunks in them."""
     docs = first_stage_docs(spark, d)
-    nodes = V.hashed_tf(hybrid.restrict(D.text_nodes(spark, d), docs).drop("qid").distinct(), "text", "embedding")
-    asked = V.hashed_tf(D.queries(spark, d), "query", "qvec").select("qid", "qvec")
     inside = hybrid.restrict(D.text_nodes(spark, d), docs).select("qid", F.col("node_id").alias("node"), F.lit(0).alias("dist"))
-    return rounded(walk.top_nodes(walk.node_scores(nodes, asked, D.sections(spark, d), inside, Score()), 10), "score")
+    return rounded(walk.top_nodes(walk.node_scores(D.node_vectors(spark, d), _asked(spark, d), D.sections(spark, d), inside, Score()), 10), "score")
 
 
 # Gold and metrics
@@ -307,9 +292,9 @@ def _evidence(spark, d):
 
 @query
 def gold_exact(spark, d):
-    """The first line of every twentieth document, wherever it is a line."""
+    """Every line of the documents whose id 20 divides (the stated query set), wherever it is a line."""
     nodes = D.text_nodes(spark, d)
-    evidence = nodes.where("pos = 0 AND doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.col("text").alias("evidence"))
+    evidence = nodes.where("doc_id % 20 = 0").select(F.col("node_id").alias("qid"), F.col("text").alias("evidence"))
     return gold.exact(evidence, nodes.select(F.col("node_id").alias("id"), "text"))
 
 
@@ -356,8 +341,7 @@ def recall_mrr_ndcg_strict(spark, d):
 @query
 def recall_mrr_ndcg_section(spark, d):
     """Lines as chunks: sections of the ranked lines against sections of the lines that answer."""
-    lines = D.text_nodes(spark, d).select(F.col("node_id").alias("id"), "text")
-    return _metrics(evaluate.metrics(bm25.top_k(lines, D.queries(spark, d)), _gold_lines(spark, d), same_section=True))
+    return _metrics(evaluate.metrics(bm25.top_k(D.line_index(spark, d), D.queries(spark, d)), _gold_lines(spark, d), same_section=True))
 
 
 @query
@@ -378,7 +362,12 @@ def diag_novelty(spark, d):
 
 
 def _runs(spark, d):
-    named = [(_bm25(spark, d), "bm25"), (bm25.heuristic(D.passages(spark, d), D.queries(spark, d)), "bm25_heuristic"), (_dense_text(spark, d, 10), "dense")]
+    """(method, qid, id, rank) of three methods, staged."""
+    return derived(spark, [f"{d}/documents.parquet", f"{d}/benchmark.parquet"], "runs", lambda: _all_runs(spark, d))
+
+
+def _all_runs(spark, d):
+    named = [(_bm25(spark, d), "bm25"), (bm25.heuristic(D.passage_index(spark, d), D.passages(spark, d), D.queries(spark, d)), "bm25_heuristic"), (_dense_text(spark, d, 10), "dense")]
     first, *rest = (df.select(F.lit(n).alias("method"), "qid", "id", "rank") for df, n in named)
     for df in rest:
         first = first.unionByName(df)

@@ -3,23 +3,43 @@
 Sections: ``D{doc}`` (level 0), one of level 1 for every eight non-blank lines, one of level 2 for every four. The first line of
 each eight belongs to the level-1 section, the others to level 2. A line is a chunk, a list item if it looks like a list, a
 caption if it looks like one. Documents with equal text are linked from the first to each other one.
+
+``corpus`` names the tables that are built once a session and read by all queries, as an index would be.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions import text as T
+from ridgeline.functions import vectors as V
+from ridgeline.operators import bm25, build
+from ridgeline.staging import derived, size_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Below this many bytes a core a table may be one row group, which one task would read alone.
+SPREAD_BYTES = 64 << 20
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text). A small table is dealt evenly once and staged, so that all cores work on it; a large one is read where it is."""
+    path, cores = f"{sf_dir}/documents.parquet", spark.sparkContext.defaultParallelism
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    if size_of(spark, path) > SPREAD_BYTES * cores:
+        return rows
+    return derived(spark, [path], "documents", lambda: rows.repartition(2 * cores))
+
+
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, text): documents as passages."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +50,69 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pos, text): non-blank lines, numbered from 0; no shuffle, the split stays in its row."""
     kept = F.filter(F.transform(F.split("text", "\n"), T.strip), lambda x: x != "")
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(kept).alias("pos", "text"))
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(kept).alias("pos", "text"))
+
+
+def _derived(spark: SparkSession, sf_dir: str, name: str, build_: Callable[[], DataFrame]) -> DataFrame:
+    return derived(spark, [f"{sf_dir}/documents.parquet"], name, build_)
 
 
 def text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node_id, section_id, node_type, text, pos, doc_id), staged."""
+    return _derived(spark, sf_dir, "nodes", lambda: _text_nodes(spark, sf_dir))
+
+
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(section_id, level, parent_id, child_pos, doc_id, local_text, subtree_text), staged."""
+
+    def made() -> DataFrame:
+        found = _sections(spark, sf_dir)
+        return found.join(build.subtree_texts(found), "section_id")
+
+    return _derived(spark, sf_dir, "sections", made)
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, rel, edge_pos), staged; places of edges order those of one source."""
+    return _derived(spark, sf_dir, "edges", lambda: _edges(spark, sf_dir))
+
+
+def section_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections with e_local and e_subtree, staged."""
+
+    def made() -> DataFrame:
+        found = V.hashed_tf(V.hashed_tf(sections(spark, sf_dir), "local_text", "e_local"), "subtree_text", "e_subtree")
+        return found.drop("subtree_text")
+
+    return _derived(spark, sf_dir, "section-vectors", made)
+
+
+def node_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node_id, section_id, node_type, doc_id, embedding), staged."""
+    return _derived(spark, sf_dir, "node-vectors", lambda: V.hashed_tf(text_nodes(spark, sf_dir), "text", "embedding").drop("text", "pos"))
+
+
+def passage_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, embedding), staged."""
+    return _derived(spark, sf_dir, "passage-vectors", lambda: V.hashed_tf(passages(spark, sf_dir), "text", "embedding").drop("text"))
+
+
+def passage_index(spark: SparkSession, sf_dir: str) -> bm25.Index:
+    return bm25.build(passages(spark, sf_dir), lambda df, name: _derived(spark, sf_dir, f"passage-{name}", lambda: df))
+
+
+def line_index(spark: SparkSession, sf_dir: str) -> bm25.Index:
+    lines_ = text_nodes(spark, sf_dir).select(F.col("node_id").alias("id"), "text")
+    return bm25.build(lines_, lambda df, name: _derived(spark, sf_dir, f"line-{name}", lambda: df))
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> None:
+    """Build all staged tables of a folder."""
+    for one in (edges, section_vectors, node_vectors, passage_vectors, passage_index, line_index):
+        one(spark, sf_dir)
+
+
+def _text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node_id, section_id, node_type, text, pos, doc_id)."""
     block, part = F.floor(F.col("pos") / 8), F.floor((F.col("pos") % 8) / 4)
     own = F.concat(F.lit("D"), F.col("doc_id"), F.lit("."), block)
@@ -43,12 +122,12 @@ def text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select(node.alias("node_id"), section.alias("section_id"), kind.alias("node_type"), "text", "pos", "doc_id")
 
 
-def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(section_id, level, parent_id, child_pos, doc_id, local_text): local text is the texts of a section's nodes, in order."""
     nodes = text_nodes(spark, sf_dir)
     local = nodes.groupBy("section_id").agg(F.expr("listagg(text, '\n') WITHIN GROUP (ORDER BY pos)").alias("local_text"))
     doc = F.concat(F.lit("D"), F.col("doc_id"))
-    counted = table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: T.strip(x) != "")).alias("n"))
+    counted = documents(spark, sf_dir).select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: T.strip(x) != "")).alias("n"))
     root = counted.select(doc.alias("section_id"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("child_pos"), "doc_id")
     blocks = counted.where("n > 0").select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 8).cast("int"))).alias("b"))
     one = F.concat(doc, F.lit("."), F.col("b"))
@@ -58,26 +137,12 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return root.unionByName(first).unionByName(second).join(local, "section_id", "left").withColumn("local_text", F.coalesce("local_text", F.lit("")))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, rel, edge_pos): places of edges order those of one source."""
     tree = sections(spark, sf_dir).where("parent_id IS NOT NULL").select(F.col("parent_id").alias("src"), F.col("section_id").alias("dst"), F.lit("HAS_SUBSECTION").alias("rel"), F.col("child_pos").cast("long").alias("edge_pos"))
     nodes = text_nodes(spark, sf_dir)
     held = nodes.select(F.col("section_id").alias("src"), F.col("node_id").alias("dst"), F.when(F.col("node_type") == "list_item", "HAS_ITEM").otherwise("HAS_CHUNK").alias("rel"), (F.col("pos") + 1000).cast("long").alias("edge_pos"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    docs = documents(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("h"))
     least = docs.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     links = docs.join(least, "h").where("doc_id <> first").select(F.concat(F.lit("D"), F.col("first")).alias("src"), F.concat(F.lit("D"), F.col("doc_id")).alias("dst"), F.lit("LINKS_TO").alias("rel"), (F.col("doc_id") + 1000000).alias("edge_pos"))
     return tree.unionByName(held).unionByName(links)
-
-
-def subtree_texts(found: DataFrame) -> DataFrame:
-    """(section_id, subtree_text): local texts of a section and all below it in pre-order, blank ones left out.
-
-    Trees are three levels deep at most here, so the closure is two self joins instead of a recursion.
-    """
-    own = found.select("section_id", "parent_id", "local_text", "child_pos", "level")
-    parent = own.select(F.col("section_id").alias("p1"), F.col("parent_id").alias("p2"), F.col("child_pos").alias("c1"))
-    up = own.join(parent, own["parent_id"] == parent["p1"], "left")
-    key = F.when(F.col("level") == 2, F.array("c1", "child_pos")).when(F.col("level") == 1, F.array("child_pos")).otherwise(F.array().cast("array<int>"))
-    rows = up.withColumn("key", key).select(F.explode(F.array_compact(F.array("section_id", "parent_id", "p2"))).alias("section_id"), "key", "local_text")
-    kept = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("key", "local_text"))), lambda x: x["local_text"]), lambda t: t != "")
-    return rows.groupBy("section_id").agg(F.array_join(kept, "\n").alias("subtree_text"))

@@ -38,7 +38,7 @@ def test_articles_to_graph(spark, tmp_path):
     found = readers.articles(spark, str(tmp_path))
     assert {r["status"] for r in found.collect()} == {"valid", "invalid_xml"}
     chunks = readers.structured_chunks(found)
-    nodes, edges = build.chunk_graph(chunks, depth=3)
+    nodes, edges = build.chunk_graph(chunks)
     sections = {r["id"]: r["text"] for r in nodes.where("type = 'Section'").collect()}
     assert sections == {"PMC1": "", "PMC1.abstract": "abstract", "PMC1.0": "X", "PMC1.0.0": "Y", "PMC1.1": "Z"}
     tree = {r["dst"]: r["src"] for r in edges.where("rel = 'HAS_SUBSECTION'").collect()}

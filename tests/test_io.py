@@ -66,7 +66,7 @@ def test_marked_labels(spark, tmp_path):
 
 def test_index_round_trip(spark, tmp_path):
     passages = spark.createDataFrame([(1, "alpha beta"), (2, "beta")], "id int, text string")
-    writers.save_index({"terms": bm25.term_stats(passages)}, str(tmp_path / "i"), dim=64, model="m")
+    writers.save_index({"terms": bm25.term_stats(bm25.build(passages))}, str(tmp_path / "i"), dim=64, model="m")
     assert writers.load_index(spark, str(tmp_path / "i"), "terms", 64, "m").count() == 2
     with pytest.raises(ValueError):
         writers.load_index(spark, str(tmp_path / "i"), "terms", 32)

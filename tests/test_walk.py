@@ -12,12 +12,17 @@ E0, E1 = [1.0, 0.0], [0.0, 1.0]
 SECTION = "section_id string, parent_id string, child_pos int, level int, local_text string, e_local array<double>, e_subtree array<double>"
 
 
-def scores(spark, rows):
-    return walk.section_scores(spark.createDataFrame(rows, SECTION), spark.createDataFrame([(1, E0)], "qid int, qvec array<double>"))
+def indexed(spark, rows):
+    return spark.createDataFrame(rows, SECTION), spark.createDataFrame([(1, E0)], "qid int, qvec array<double>")
 
 
 def seeds(spark, rows, **kw):
-    return sorted(r["section_id"] for r in walk.drill(scores(spark, rows), Drill(**kw), 3).collect())
+    return sorted(r["section_id"] for r in walk.drill(*indexed(spark, rows), Drill(**kw)).collect())
+
+
+def test_drill_goes_as_deep_as_the_tree(spark):
+    rows = [(f"s{k}", f"s{k - 1}" if k > 1 else None, 0, k, "", E1, E0) for k in range(1, 13)]
+    assert seeds(spark, [*rows, ("deep", "s12", 0, 13, "text", E0, E0)]) == ["deep"]
 
 
 def test_drill_takes_the_section_itself(spark):
@@ -31,7 +36,7 @@ def test_drill_descends_without_local_text(spark, mode):
 
 def test_roots_by_subtree(spark):
     rows = [("X", None, 0, 1, "x", E1, E1), ("Y", None, 1, 1, "y", E0, E0), ("Z", None, 2, 2, "z", E0, E0)]
-    assert [r["section_id"] for r in walk.roots(scores(spark, rows)).orderBy("rank").collect()] == ["Y", "X"]
+    assert [r["section_id"] for r in walk.roots(*indexed(spark, rows)).orderBy("rank").collect()] == ["Y", "X"]
 
 
 @pytest.fixture(scope="module")
