@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.staging import discard, fresh, passing, shared_dir, stage  # noqa: F401
+
 U64 = np.uint64
 #: Words are runs of bytes other than space and \t..\r; UTF-8 continuation and lead bytes are never among these.
 _SPACE = np.zeros(256, bool)
@@ -27,26 +27,6 @@ MULT = U64(0x9E3779B97F4A7C15)
 MULT2 = U64(0xC2B2AE3D27D4EB4F)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share; a temporary one only where the session names none (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='ridgeline-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stage(df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends here and survives lost executors.
-
-    ``dictionary``: no use where values are long and hardly repeat; those are compressed lightly, too.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ridgeline/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd" if dictionary else "snappy").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

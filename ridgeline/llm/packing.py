@@ -1,12 +1,19 @@
 """Bulk-synchronous best-fit packing of token pieces into sequences of a fixed capacity.
 
-Documents and gaps are integers from 1 to the capacity, so everything a round decides depends on how many pieces and how
-many gaps there are of each size, never on which. Sizes are range-sorted from large to small; each round takes the
-next piece size, sweeps to its successor among the gap sizes (the smallest gap that holds it), lets ranks settle which
-pieces get which gaps, shrinks those gaps and goes on. Rounds run on the counts (``capacity`` numbers, whatever the input);
-what they yield is a list of rank ranges, and one distributed pass turns each piece's rank among those of its size into
-its sequence and offset. Ranks come from counts by partition and size, so that no size, however common, is sorted or
-gathered in one task.
+Pieces are placed in bands of size, large ones first, as best-fit decreasing does. Pieces above half the capacity open a sequence each.
+Every further band is a round, together with what the bands before have left over, and the last repeats until all have a place:
+
+1. range-sort: the band's pieces and all gaps are sorted together by size, from large to small, over all tasks; rows of
+   one size are told apart by id, so a common size is cut like any other;
+2. sweep: each task walks down its range; a piece takes its successor, the smallest gap there that holds it, ranks decide
+   between pieces that want the same gap, and what is left of the gap goes back among the gaps;
+3. carry: pieces without a gap in their range go on to the gaps that the ranges above have left, nearest first, in shares
+   by total size; if those are used up, their range may open as many sequences as its pieces fill. Only totals by range
+   (two numbers each) reach the driver for this;
+4. pieces and the gaps dealt to them meet and are swept again; gaps are updated. What still has no place is first in the next round.
+
+A gap is a sequence and the room at its end, so what a sequence holds is ``capacity`` less its gap. All tables of a round are
+written to the shared folder: a lost executor costs a re-read, and no round is computed twice.
 """
 
 from __future__ import annotations
@@ -18,116 +25,200 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ridgeline.llm.common import clean, stage
 from ridgeline.llm.tokens import encoder as shared_encoder
+from ridgeline.llm.tokens import ended
 
 CAPACITY = 2048
+#: Bands end at the capacity divided by these; the last one takes all that is smaller.
+BANDS = (2, 4, 8, 16)
+#: Pieces and gaps of one task, about.
+RANGE_ROWS = 50_000
+PLACED, GAP, OPEN = 0, 1, 2
+#: ``id``: of a piece, or a gap's sequence; ``at``: total size of the smaller gaps of the range.
+_STATE = "what int, part int, at long, id long, sid long, size long"
+_NAMES = [x.split()[0] for x in _STATE.split(", ")]
 
 
-def best_fit(counts: np.ndarray, capacity: int) -> np.ndarray:
-    """Rows (size, first rank, first sequence, pieces a sequence, offset), sorted; counts[s]: pieces of size s.
+def sweep(gap_ids: np.ndarray, gap_sizes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, capacity: int = 0, may_open: int = 0) -> tuple[list, list, list]:
+    """(placed (piece, sequence, room before), gaps (sequence, size), open (piece, size)).
 
-    A row holds for the ranks up to the next row of its size.
+    Pieces from large to small each take the smallest gap that holds them; of gaps and of pieces of one size those with the smaller id come first.
+    ``may_open``: sequences that may be opened, named by their first piece.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size -> [(first sequence, sequences)]
-    sizes: list[int] = []
-    plan: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-
-    def give(gap: int, first: int, n: int) -> None:
-        if gap > 0 and n > 0:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(sizes, gap)
-            gaps[gap].append((first, n))
-
-    for size in range(capacity, 0, -1):
-        rank, total = 0, int(counts[size])
-        while rank < total:
-            at = bisect.bisect_left(sizes, size)
-            if at < len(sizes):
-                gap = sizes[at]
-                first, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], sizes[at]
-            else:
-                gap, first, n = capacity, opened, -(-(total - rank) // (capacity // size))
-                opened += n
-            each = gap // size
-            full = min(n, (total - rank) // each)
-            if full:
-                plan.append((size, rank, first, each, capacity - gap))
-                give(gap - each * size, first, full)
-                rank += full * each
-            if full < n:
-                some = min(each, total - rank)
-                if some:
-                    plan.append((size, rank, first + full, some, capacity - gap))
-                    give(gap - some * size, first + full, 1)
-                    rank += some
-                rest = first + full + bool(some)
-                give(gap, rest, first + n - rest)
-    return np.array(sorted(plan), np.int64).reshape(-1, 5)
-
-
-def ranked(pieces: DataFrame) -> DataFrame:
-    """Adds ``rank`` among the pieces of equal length from ``part`` and ``local_rank`` (the rank in that part)."""
-    counts = pieces.groupBy(F.col("part").alias("_part"), F.col("length").alias("_length")).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("_length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    base = counts.select("_part", "_length", F.coalesce(before, F.lit(0)).alias("_base"))
-    on = (F.col("part") == F.col("_part")) & (F.col("length") == F.col("_length"))
-    return pieces.join(base, on).withColumn("rank", F.col("local_rank") + F.col("_base")).drop("_part", "_length", "_base")
+    room: dict[int, list[int]] = {}
+    for k in np.lexsort((-gap_ids, gap_sizes)).tolist():
+        room.setdefault(int(gap_sizes[k]), []).append(int(gap_ids[k]))
+    known = sorted(room)
+    placed, open_ = [], []
+    order = np.lexsort((ids, -sizes))
+    for i, n in zip(ids[order].tolist(), sizes[order].tolist()):
+        k = bisect.bisect_left(known, n)
+        if k < len(known):
+            gap = known[k]
+            sid = room[gap].pop()
+            if not room[gap]:
+                del room[gap], known[k]
+        elif may_open:
+            may_open -= 1
+            gap, sid = capacity, i
+        else:
+            open_.append((i, n))
+            continue
+        placed.append((i, sid, gap))
+        if gap > n:
+            if gap - n not in room:
+                room[gap - n] = []
+                bisect.insort(known, gap - n)
+            room[gap - n].append(sid)
+    return placed, [(sid, size) for size in known for sid in room[size]], open_
+
+
+def _state(part: int, placed: list, gaps: list, open_: list, capacity: int) -> pa.RecordBatch:
+    """One table of all: of a placed piece, size is its offset."""
+    rows = [(PLACED, part, 0, i, sid, capacity - gap) for i, sid, gap in placed]
+    at = 0
+    for sid, size in gaps:
+        rows.append((GAP, part, at, sid, sid, size))
+        at += size
+    rows += [(OPEN, part, 0, i, 0, n) for i, n in open_]
+    kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=_NAMES)
+
+
+def _arrays(table: pa.Table | pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [np.asarray(table.column(n)) for n in names]
+
+
+def _swept(gaps: DataFrame, open_: DataFrame, parts: int, capacity: int) -> DataFrame:
+    """Steps 1 and 2. gaps and open_: (id, size)."""
+    both = gaps.select(F.lit(GAP).alias("what"), "id", "size").unionByName(open_.select(F.lit(OPEN).alias("what"), "id", "size"))
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in it if b.num_rows]
+        if batches:
+            what, ids, sizes = _arrays(pa.Table.from_batches(batches), "what", "id", "size")
+            gap = what == GAP
+            yield _state(TaskContext.get().partitionId(), *sweep(ids[gap], sizes[gap], ids[~gap], sizes[~gap]), capacity)
 
-def numbered(df: DataFrame) -> DataFrame:
-    """A table with ``length`` gets ``part`` and ``local_rank``, written to the shared folder so that they stay as they are."""
-    out = StructType(list(df.schema.fields)).add("part", "integer").add("local_rank", "long")
+    return stage(both.repartitionByRange(parts, F.col("size").desc(), "what", "id").mapInArrow(run, _STATE), "swept")
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), {}
+
+def carried(totals: dict[int, tuple[int, int]], capacity: int) -> tuple[dict[int, list[tuple[int, int, int]]], dict[int, int]]:
+    """(by range: (from, to, range) shares of its gaps, by range: sequences it may open).
+
+    totals: by range, from large sizes to small, what its open pieces and its gaps come to. Gaps of ranges above form a
+    stack with the nearest on top; a range takes from it what its pieces come to, and sequences are opened for the rest
+    of all ranges, as few as hold it.
+    """
+    stack: list[list[int]] = []  # range, from, to
+    shares: dict[int, list[tuple[int, int, int]]] = {}
+    opens: dict[int, int] = {}
+    lacking = 0
+    for part in sorted(totals):
+        need, own = totals[part]
+        while need > 0 and stack:
+            source, begin, end = stack[-1]
+            take = min(need, end - begin)
+            shares.setdefault(source, []).append((begin, begin + take, part))
+            need -= take
+            if begin + take == end:
+                stack.pop()
+            else:
+                stack[-1][1] += take
+        if need > 0:  # what all ranges so far need, less what they may open already
+            lacking += need
+            if n := -(-lacking // capacity):
+                opens[part] = n
+                lacking -= n * capacity
+        if own:
+            stack.append([part, 0, own])
+    return shares, opens
+
+
+def _dealt(swept: DataFrame, totals: dict[int, tuple[int, int]], parts: int, capacity: int) -> tuple[DataFrame, DataFrame]:
+    """Steps 3 and 4: (gaps that were dealt to no range, state of the others)."""
+    shares, opens = carried(totals, capacity)
+
+    def target(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            rank = []
-            for n in batch.column("length").to_pylist():
-                rank.append(seen.get(n, 0))
-                seen[n] = rank[-1] + 1
-            yield pa.record_batch([*batch.columns, pa.array(np.full(len(rank), part, np.int32)), pa.array(rank, pa.int64())], names=[*batch.schema.names, "part", "local_rank"])
+            what, part, at = _arrays(batch, "what", "part", "at")
+            to = np.where(what == OPEN, part, -1)
+            for source in np.unique(part[what == GAP]).tolist():
+                own = np.flatnonzero((what == GAP) & (part == source))
+                if cuts := shares.get(source):
+                    k = np.searchsorted([b for b, _, _ in cuts], at[own], "right") - 1
+                    inside = (k >= 0) & (at[own] < np.array([e for _, e, _ in cuts])[k])
+                    to[own[inside]] = np.array([t for _, _, t in cuts])[k[inside]]
+            yield pa.record_batch([*batch.columns, pa.array(to.astype(np.int32))], names=[*_NAMES, "target"])
+
+    def again(group: pa.Table) -> pa.Table:
+        what, ids, sizes = _arrays(group, "what", "id", "size")
+        gap, part = what == GAP, group.column("target")[0].as_py()
+        return pa.Table.from_batches([_state(part, *sweep(ids[gap], sizes[gap], ids[~gap], sizes[~gap], capacity, opens.get(part, 0)), capacity)])
 
-    return stage(df.mapInArrow(run, out), "pieces")
+    aimed = stage(swept.where(F.col("what") != PLACED).mapInArrow(target, _STATE + ", target int"), "aimed")
+    met = aimed.where("target >= 0").repartition(parts, "target").groupBy("target").applyInArrow(again, _STATE)
+    return aimed.where("target < 0").select(_NAMES), stage(met, "met")
+
+
+def _of(state: DataFrame, what: int) -> DataFrame:
+    return state.where(F.col("what") == what).select("id", *["sid"] * (what == PLACED), "size")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to a table with a ``length`` column.
 
     A length that is null, under 1 or over the capacity can't be placed: both are null there. Equal rows are separate
-    pieces. An empty table stays empty. Other columns pass; the names part, local_rank, rank, sequence_id and offset are taken.
+    pieces. An empty table stays empty. Other columns pass; the names _pid, sequence_id and offset are taken.
     """
-    spark = pieces.sparkSession
-    rows = numbered(pieces.withColumn("length", F.col("length").cast("long")))
-    fits = F.col("length").between(1, capacity)
-    counts = np.zeros(capacity + 1, np.int64)
-    for row in rows.where(fits).groupBy("length").agg(F.count("*").alias("n")).collect():  # a row for each size
-        counts[row["length"]] = row["n"]
-    plan = spark.sparkContext.broadcast(best_fit(counts, capacity))  # bounded by the capacity, not by the input
-    kept = [c for c in rows.columns if c not in ("part", "local_rank")]
-    out = StructType(list(rows.select(kept).schema.fields)).add("sequence_id", "long").add("offset", "long")
-
-    def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = plan.value
-        key = (p[:, 0] << 44) + p[:, 1]
+    kept = [c for c in pieces.columns if c not in ("_pid", "sequence_id", "offset")]
+    rows = stage(numbered(pieces.select(kept).withColumn("length", F.col("length").cast("long"))), "pieces")
+    size = rows.where(F.col("length").between(1, capacity)).select(F.col("_pid").alias("id"), F.col("length").alias("size"))
+    parts = max(1, -(-rows.count() // RANGE_ROWS))
+    bounds = sorted({capacity, *(capacity // b for b in BANDS)}, reverse=True)[1:] + [0]
+    large = size.where(F.col("size") > bounds[0])
+    placed = [large.select("id", F.col("id").alias("sid"), F.lit(0).cast("long").alias("size"))]
+    gaps = large.select("id", (F.lit(capacity) - F.col("size")).alias("size")).where("size > 0")
+    left = size.limit(0)
+    for high, low in zip(bounds, bounds[1:]):
+        open_ = left.unionByName(size.where((F.col("size") <= high) & (F.col("size") > low)))
+        while True:
+            swept = _swept(gaps, open_, parts, capacity)
+            # two numbers for each range
+            found = swept.where(F.col("what") != PLACED).groupBy("part").pivot("what", [OPEN, GAP]).sum("size").fillna(0).collect()
+            totals = {r["part"]: (r[str(OPEN)], r[str(GAP)]) for r in found}
+            placed.append(_of(swept, PLACED))
+            gaps, left = _of(swept, GAP), _of(swept, OPEN)
+            if any(need for need, _ in totals.values()):
+                rest, met = _dealt(swept, totals, parts, capacity)
+                placed.append(_of(met, PLACED))
+                gaps, left = _of(rest.unionByName(met.where(F.col("what") == GAP)), GAP), _of(met, OPEN)
+            if low or left.isEmpty():
+                break
+            open_ = left
+    places = placed[0]
+    for more in placed[1:]:
+        places = places.unionByName(more)
+    places = places.select(F.col("id").alias("_pid"), F.col("sid").alias("sequence_id"), F.col("size").alias("offset"))
+    return rows.join(places, "_pid", "left").select(*kept, "sequence_id", "offset")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """Adds ``_pid``, a number for each row by partition and place; to be written before it is used."""
+    out = StructType(list(df.schema.fields)).add("_pid", "long")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
         for batch in it:
-            size = np.asarray(batch.column("length").to_numpy(zero_copy_only=False), np.int64)
-            rank = np.asarray(batch.column("rank").to_numpy(zero_copy_only=False), np.int64)
-            row = p[np.searchsorted(key, (size << 44) + rank, "right") - 1]
-            nth = rank - row[:, 1]
-            yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(row[:, 2] + nth // row[:, 3]), pa.array(row[:, 4] + nth % row[:, 3] * size)], names=[*kept, "sequence_id", "offset"])
+            yield pa.record_batch([*batch.columns, pa.array(np.arange(at, at + batch.num_rows))], names=[*batch.schema.names, "_pid"])
+            at += batch.num_rows
 
-    placed = ranked(rows.where(fits)).mapInArrow(place, out)
-    none = F.lit(None).cast("long")
-    return placed.unionByName(rows.where(~fits | F.col("length").isNull()).select(*kept, none.alias("sequence_id"), none.alias("offset")))
+    return df.mapInArrow(run, out)
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, spaced: bool = False, with_ids: bool = False) -> DataFrame:
@@ -137,17 +228,19 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACI
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(vocabulary, spaced)
-        end = np.array([end_id], encoder.dtype).tobytes()
-        for whole in it:
-            for i in range(0, whole.num_rows, 1000):
-                batch, rows = whole.slice(i, 1000), []
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
-                    ids = np.frombuffer(ids + end, encoder.dtype).astype("<u4")
-                    for k, start in enumerate(range(0, len(ids), capacity)):
-                        part = ids[start : start + capacity].tobytes()
-                        rows.append((doc_id, k, start, len(part) // 4, zlib.crc32(part), part)[: len(names)])
-                kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.binary()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+        for batch in it:
+            ids, offsets = ended(*encoder.encode(batch.column("text")), end_id)
+            ids = ids.astype("<u4")
+            n = -(-np.diff(offsets) // capacity)  # every document has its end id at least
+            first = np.cumsum(n) - n
+            of = np.repeat(np.arange(batch.num_rows), n)
+            piece = np.arange(len(of)) - first[of]
+            start = piece * capacity
+            length = np.minimum(np.diff(offsets)[of] - start, capacity)
+            raw, begin = memoryview(ids.tobytes()), (offsets[of] + start) * 4
+            parts = [raw[a:b] for a, b in zip(begin.tolist(), (begin + 4 * length).tolist())]
+            columns = [batch.column("doc_id").take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+            yield pa.record_batch(columns + [pa.array([bytes(x) for x in parts], pa.binary())] * with_ids, names=names)
 
     return clean(docs).mapInArrow(run, kind)
 

@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import rans
-from ridgeline.llm.common import clean, shared_dir, shuffle_partitions, stage
+from ridgeline.llm.common import clean, fresh, passing, shuffle_partitions, stage
 from ridgeline.llm.tokens import encoder as shared_encoder
+from ridgeline.llm.tokens import ended
 
 BLOCK_TOKENS = 1 << 19
 _SLICE = 1024
@@ -37,15 +38,12 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int, spaced: bool) -> Dat
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, at, part = shared_encoder(vocabulary, spaced), 0, TaskContext.get().partitionId()
-        end = np.array([end_id], encoder.dtype).tobytes()
-        for whole in it:
-            for i in range(0, whole.num_rows, 1000):
-                batch = whole.slice(i, 1000)
-                ids = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
-                n = np.array([len(x) // encoder.dtype.itemsize for x in ids], np.int64)
-                places = at + np.cumsum(n) - n
-                at += int(n.sum())
-                yield pa.record_batch([pa.array(np.full(len(n), part, np.int32)), pa.array(places), batch.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())], schema=schema)
+        for batch in it:
+            ids, offsets = ended(*encoder.encode(batch.column("text")), end_id)
+            raw, size = memoryview(ids.tobytes()), encoder.dtype.itemsize
+            each = [bytes(raw[a * size : b * size]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            yield pa.record_batch([pa.array(np.full(len(each), part, np.int32)), pa.array(at + offsets[:-1]), batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(each, pa.binary())], schema=schema)
+            at += int(offsets[-1])
 
     ordered = clean(docs).repartitionByRange(2 * shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     return stage(ordered.mapInArrow(run, _TOKENS), "tokens", dictionary=False)
@@ -147,8 +145,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Production parameters: byte-level vocabulary, end id 2."""
-    import uuid
-
-    path = f"{shared_dir(spark)}/ridgeline/token-files-{uuid.uuid4().hex}"
+    path = fresh(spark, "token-files")
     write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, "byte_bpe_50k.json", 2)
+    passing(spark, path)
     return read(spark, path)

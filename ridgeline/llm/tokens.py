@@ -1,22 +1,28 @@
-"""Exact token ids of whole texts by the tokenizers library, with each distinct piece of text between spaces encoded once.
+"""Exact token ids of whole texts by the tokenizers library, with each distinct word encoded once.
 
-Both vocabularies split text at white space before they merge anything, so what lies between two spaces always gets the
-same ids. A bounded cache keeps the ids of the pieces seen; those not in it reach the library many at a time, and their
-ids are cut apart again. Texts where white space follows white space are encoded whole if white space stays in the ids,
-and so are texts that hold an added token such as <|endoftext|>, which the library takes out before it splits.
+Both vocabularies split text at white space, and between a letter and a stop or comma, before they merge anything, so a
+word and the stops behind it always get the same ids. A bounded cache keeps where the ids of the pieces between spaces are in one
+array. The words of pieces not in it (in lower case, where the vocabulary has only that) reach the library many at a time,
+and their ids are cut apart again. Texts where white space follows white space are encoded whole if white space stays in the
+ids, and so are texts that hold an added token such as <|endoftext|>, which the library takes out before it splits.
 """
 
 from __future__ import annotations
 
 import functools
 import os
-from collections.abc import Iterator
+import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _MARK = "\x00"
+#: Letters (and a few signs that count as such here), then stops, then nothing.
+_WORD = re.compile(r"([^\W\d_]+)([.,;:!?]*)")
 #: A space to the library but not to Python.
 _ALSO_SPACE = "᠎"
+_GROUP = 256
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,6 +34,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _odd(piece: str) -> bool:
+    return not piece or piece[0].isspace() or piece[-1].isspace() or piece[0] == _ALSO_SPACE or piece[-1] == _ALSO_SPACE
+
+
 class Encoder:
     """Token ids as little-endian unsigned integers of ``dtype``.
 
@@ -46,86 +56,178 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 65536 else "<u4")
         self.spaced, self.limit = spaced, cache_pieces
-        self.cache: dict[str, bytes] = {}  # by piece, as it is after a space
-        self.heads: dict[str, bytes] = {}  # by piece, as it is at the start of a text
         self.opens = np.zeros(max(size, 1), bool)  # ids that begin with a space
-        if spaced:
-            for token, i in self.tokenizer.get_vocab().items():
-                self.opens[i] = token.startswith("Ġ")
-        else:
+        self.closes = np.zeros(max(size, 1), bool)  # ids that end a word
+        for token, i in self.tokenizer.get_vocab().items():
+            self.opens[i], self.closes[i] = token.startswith("Ġ"), token.endswith("</w>")
+        if not spaced:
             (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.pool, self.used = np.zeros(1 << 20, self.dtype), 0  # ids of all entries
+        self.first, self.count, self.entries = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
+        self.cache: dict[str, int] = {}  # entry of a piece, as it is after a space; -1 if the text must be encoded whole
+        self.words: dict[str, int] = {}  # entry of a word, as it is after a space
+        self.heads: dict[str, int] = {}  # entry of a piece, as it is at the start of a text
+        self.tails: dict[str, int] = {"": int(self._add(np.zeros(0, self.dtype), [0])[0])}  # entry of stops, as they are after a word
+
+    def _add(self, ids: np.ndarray, counts) -> np.ndarray:
+        """Numbers of new entries whose ids follow each other in ``ids``."""
+        counts = np.asarray(counts, np.int32)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        while self.entries + len(counts) > len(self.first):
+            self.first, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.count))
+        self.pool[self.used : self.used + len(ids)] = ids
+        new = np.arange(self.entries, self.entries + len(counts))
+        self.first[new], self.count[new] = self.used + np.cumsum(counts) - counts, counts
+        self.used, self.entries = self.used + len(ids), self.entries + len(counts)
+        return new
+
+    def _gather(self, entries: np.ndarray) -> np.ndarray:
+        """Ids of the entries, end to end."""
+        n = self.count[entries].astype(np.int64)
+        ends = np.cumsum(n)
+        return self.pool[np.repeat(self.first[entries] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _alone(self, into: dict[str, int], pieces: list[str], texts: list[str]) -> None:
+        found = self._whole(texts)
+        into.update(zip(pieces, self._add(np.concatenate([np.zeros(0, self.dtype), *found]), [len(x) for x in found]).tolist()))
+
+    def _joined(self, into: dict[str, int], pieces: list[str], between: str, counts) -> list[str]:
+        """Encodes pieces by the group; what can't be cut into as many parts as it has pieces comes back. ``counts``: ids (and marks) by part."""
+        rest: list[str] = []
+        groups = [pieces[i : i + _GROUP] for i in range(0, len(pieces), _GROUP)]
+        before, after = (" ", "") if self.spaced else ("", between)
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast([before + between.join(g) + after for g in groups], add_special_tokens=False)):
+            ids = np.array(got.ids, self.dtype)
+            ends = counts(ids)
+            if len(ends) != len(group):
+                rest += group
+                continue
+            n = np.diff(ends, prepend=0)
+            if between != " ":  # marks are no part of the pieces
+                ids, n = np.delete(ids, ends - 1), n - 1
+            into.update(zip(group, self._add(ids, n).tolist()))
+        return rest
 
-    def _odd(self, piece: str) -> bool:
-        return not piece or piece[0].isspace() or piece[-1].isspace() or piece[0] == _ALSO_SPACE or piece[-1] == _ALSO_SPACE
+    def _opened(self, ids: np.ndarray) -> np.ndarray:
+        return np.append(np.flatnonzero(self.opens[ids])[1:], len(ids))
 
-    def _holds_added(self, text: str) -> bool:
-        return self.all_whole or any(a in text for a in self.added)
+    def _closed(self, ids: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.closes[ids]) + 1
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _marked(self, ids: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(ids == self.mark) + 1
 
     def _learn(self, missing: list[str]) -> None:
-        """Ids of pieces: joined by the hundred, encoded, and cut where a new piece opens."""
-        size = self.dtype.itemsize
-        alone = []
+        """Entries of pieces from those of their words and stops, or of whole pieces."""
+        split, whole, tails = [], [], set()
+        new: dict[str, None] = {}
         if self.spaced:
-            usual = [p for p in missing if not self._odd(p)]
-        else:
-            usual, alone = [], []
+            match, words = _WORD.fullmatch, self.words
             for p in missing:
-                (alone if self._odd(p) or _MARK in p else usual).append(p)
-        groups = [usual[i : i + 256] for i in range(0, len(usual), 256)]
-        joined = [" " + " ".join(g) for g in groups] if self.spaced else [f" {_MARK} ".join([*g, ""]) for g in groups]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(found.ids, self.dtype)
-            raw = ids.tobytes()
-            if self.spaced:
-                cut = [*(np.flatnonzero(self.opens[ids]) * size).tolist(), len(raw)]
-                begin, end = cut[:-1], cut[1:]
-            else:
-                end = (np.flatnonzero(ids == self.mark) * size).tolist()
-                begin = [0, *(e + size for e in end[:-1])]
-            if len(end) != len(group):  # never seen; such pieces are encoded one at a time
-                alone.extend(group)
-                continue
-            self.cache.update(zip(group, [raw[a:b] for a, b in zip(begin, end)]))
-        if alone:
-            self.cache.update(zip(alone, self._ids([" " + p if self.spaced else p for p in alone])))
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        whole = [bool(t) and self._holds_added(t) for t in texts]
-        split = [t.split(" ") if t and not w else [] for t, w in zip(texts, whole)]
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        if len(self.heads) > 20_000:
-            self.heads.clear()
-        cache = self.cache
+                if m := match(p):
+                    word, tail = m.groups()
+                    split.append((p, word, tail))
+                    if word not in words:
+                        new[word] = None
+                    if tail not in self.tails:
+                        tails.add(tail)
+                else:
+                    whole.append(p)
+        else:  # stops stand apart already
+            words, new = self.cache, dict.fromkeys([p for p in missing if p.isalpha()])
+            whole = [p for p in missing if p not in new]
+        if tails:
+            self._alone(self.tails, list(tails), list(tails))
+        # a word gives one part, unless the vocabulary's idea of a letter differs: then it is encoded by itself
+        rest = self._joined(words, list(new), " ", self._opened if self.spaced else self._closed)
+        self._alone(words, rest, [" " + p if self.spaced else p for p in rest])
+        if split:
+            parts = np.array([(words[w], self.tails[t]) for _, w, t in split], np.int64)
+            bare = self.count[parts[:, 1]] == 0
+            entries = parts[:, 0].copy()
+            entries[~bare] = self._add(self._gather(parts[~bare].ravel()), self.count[parts[~bare]].sum(1))
+            self.cache.update(zip([p for p, _, _ in split], entries.tolist()))
+        odd = [p for p in whole if _odd(p) or (not self.spaced and _MARK in p)]
+        usual = list(set(whole).difference(odd))
+        rest = self._joined(self.cache, usual, " ", self._opened) if self.spaced else self._joined(self.cache, usual, f" {_MARK} ", self._marked)
+        if self.spaced:
+            self.cache.update(dict.fromkeys(odd, -1))
+        else:
+            rest += odd
+        self._alone(self.cache, rest, [" " + p if self.spaced else p for p in rest])
+
+    def _prepared(self, texts: pa.Array) -> pa.Array:
+        """Where white space only separates and letters have one case: A-Z lower-cased, line ends as spaces, a space between a letter and stops."""
+        if self.spaced:
+            return texts
+        return pc.replace_substring_regex(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), "([a-z])([.,;:!?])", r"\1 \2")
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, offsets)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        n = len(texts)
+        if not n:
+            return np.zeros(0, self.dtype), np.zeros(1, np.int64)
+        if len(self.cache) + len(self.words) > self.limit or len(self.heads) + len(self.tails) > 40_000:
+            self._forget()
+        whole = np.full(n, self.all_whole)
+        for a in self.added:
+            whole |= np.asarray(pc.match_substring(texts, a))
+        split = pc.split_pattern(self._prepared(pc.if_else(pa.array(whole), "", texts)), " ")
+        at = np.asarray(split.offsets).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        pieces, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices)
         heads: list[str] = []
+        if self.spaced:  # the first piece of a text has no space before it
+            heads = [pieces[i] for i in index[at[:-1]].tolist()]
+            new = list({h for h in heads if not _odd(h)}.difference(self.heads))
+            self._alone(self.heads, new, new)
+            later = np.ones(len(index), bool)
+            later[at[:-1]] = False
+            needed = np.zeros(len(pieces), bool)
+            needed[index[later]] = True
+        else:
+            needed = np.ones(len(pieces), bool)
+        get, unknown = self.cache.get, -2
+        entry = np.array([get(p, unknown) for p in pieces], np.int64)
+        missing = np.flatnonzero((entry == unknown) & needed).tolist()
+        self._learn([pieces[i] for i in missing])
+        entry[missing] = [self.cache[pieces[i]] for i in missing]
+        found = entry[index] if len(index) else np.zeros(0, np.int64)
         if self.spaced:
-            heads = [s.pop(0) if s else "" for s in split]
-            new = list({h for h in heads if h and not self._odd(h)}.difference(self.heads))
-            self.heads.update(zip(new, self._ids(new)))
-        missing = list(set().union(*split).difference(cache))
-        self._learn(missing)
-        get = cache.__getitem__
-        for i, pieces in enumerate(split):
-            if not texts[i]:
-                yield b""
-            elif whole[i]:
-                yield self._ids([texts[i]])[0]
-            elif not self.spaced:
-                yield b"".join(map(get, pieces))
-            else:
-                try:
-                    yield self.heads[heads[i]] + b"".join(map(get, pieces))
-                except KeyError:  # white space next to white space
-                    yield self._ids([texts[i]])[0]
-        for piece in missing:
-            if len(piece) > 100:
-                cache.pop(piece, None)
+            found[at[:-1]] = [-1 if _odd(h) and h else self.heads[h] if h else self.tails[""] for h in heads]
+            # a text that begins with a space has an empty head, too
+            whole |= np.asarray(pc.match_substring_regex(texts, "^ "))
+            whole |= np.logical_or.reduceat(found < 0, at[:-1])
+        found[np.repeat(whole, np.diff(at))] = self.tails[""]
+        ids = self._gather(found)
+        offsets = np.concatenate(([0], np.cumsum(self.count[found], dtype=np.int64)))[at]
+        for i in missing:
+            if len(pieces[i]) > 100:  # hardly comes again
+                self.cache.pop(pieces[i], None)
+                self.words.pop(pieces[i], None)
+        if whole.any():
+            some = np.flatnonzero(whole)
+            parts = [ids[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            for i, got in zip(some.tolist(), self._whole(texts.take(pa.array(some)).to_pylist())):
+                parts[i] = got
+            ids, offsets = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int64)))
+        return ids, offsets
+
+
+def ended(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same texts with an end id after each."""
+    return np.insert(ids, offsets[1:], end_id), offsets + np.arange(len(offsets))
 
 
 @functools.lru_cache(2)
 def encoder(name: str, spaced: bool) -> Encoder:
     """One encoder for all tasks of a Python worker, with what it has cached so far."""
-    return Encoder(name, spaced, 1_500_000 if spaced else 300_000)
+    return Encoder(name, spaced, 1_200_000)

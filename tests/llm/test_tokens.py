@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
@@ -22,14 +23,15 @@ def rows(texts):
 @pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_ids_equal_the_library(name, spaced):
     rng = random.Random(1)
-    parts = [" ", "\n", "\t", " ", "the", "Are", "é", "'s", "12", ".", "#", "\x00", "Σ", "́"]
-    texts = [*ODD, *("".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(500))]
-    library = Tokenizer.from_file(P.path(name))
-    library.encode_special_tokens = True
-    encoder = Encoder(name, spaced)
+    parts = [" ", "\n", "\t", " ", "the", "Are", "é", "'s", "12", ".", "?!", "...", "#", "\x00", "Σ", "\u0301", "²", "½", "İ", "한", "ᄒ", "ᅡ", "क़", "<|endoftext|>", "a" * 120]
+    texts = [*ODD, "a²b, c½.", *("".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(1000))]
+    library, encoder = Tokenizer.from_file(P.path(name)), Encoder(name, spaced)
     for _ in range(2):  # from the library, then from the cache
-        for text, ids in zip(texts, encoder.encode(texts)):
-            assert np.frombuffer(ids, encoder.dtype).tolist() == library.encode(text or "", add_special_tokens=False).ids
+        ids, offsets = encoder.encode(pa.array(texts))
+        for i, text in enumerate(texts):
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids
+    encoder.limit = 0  # the cache is emptied
+    assert encoder.encode(pa.array(texts))[0].tolist() == ids.tolist()
 
 
 @pytest.mark.parametrize("n", [0, 1, 15, 16, 1000, 300_000])
@@ -63,7 +65,6 @@ def test_token_files(spark, tmp_path):
     token_files.write(df, str(tmp_path / "t"), "byte_bpe_50k.json", 2, block_tokens=50)
     got = sorted(map(tuple, token_files.read(spark, str(tmp_path / "t"), with_ids=True).collect()), key=lambda r: r[1])
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     order = sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     start = 0
     for (doc_id, text), found in zip(order, got):
@@ -108,6 +109,39 @@ def test_best_fit_is_as_good_as_one_at_a_time(spark, seed):
     assert n <= len(gaps) and n >= -(-sum(sizes) // capacity)
 
 
+def test_a_sweep_equals_a_loop():
+    rng = random.Random(3)
+    for _ in range(200):
+        gaps = [(100 + k, rng.randrange(1, 40)) for k in range(rng.randrange(8))]
+        todo = [(k, rng.randrange(1, 30)) for k in range(rng.randrange(12))]
+        arrays = [np.array([x[i] for x in rows], np.int64) for rows in (gaps, todo) for i in (0, 1)]
+        placed, left, open_ = packing.sweep(*arrays)
+        room, want, rest = dict(gaps), {}, []
+        for i, n in sorted(todo, key=lambda x: (-x[1], x[0])):
+            fit = min((v for v in room.values() if v >= n), default=None)
+            if fit is None:
+                rest.append((i, n))
+            else:
+                want[i] = fit
+                room[next(k for k, v in room.items() if v == fit and (i, k) in {(a, b) for a, b, _ in placed})] -= n
+        assert {i: gap for i, _, gap in placed} == want and open_ == rest and sorted(v for _, v in left) == sorted(v for v in room.values() if v)
+
+
+def test_ranges_take_the_gaps_above_them():
+    assert packing.carried({0: (3, 0), 1: (4, 0), 2: (5, 0)}, 10) == ({}, {0: 1, 2: 1})
+    shares, opens = packing.carried({0: (10, 0), 1: (0, 7), 2: (9, 4), 3: (3, 0)}, 10)
+    assert opens == {0: 1, 2: 1} and shares == {1: [(0, 7, 2)], 2: [(0, 3, 3)]}
+
+
+@pytest.mark.parametrize("rows", [7, 30])
+def test_many_ranges(spark, monkeypatch, rows):
+    monkeypatch.setattr(packing, "RANGE_ROWS", rows)
+    rng = random.Random(rows)
+    sizes = [7] * 60 + [rng.randrange(1, 65) for _ in range(60)]  # half of all of one size
+    found = packing.pack(spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "i int, length int"), 64).collect()
+    assert len(found) == len(sizes) and check_packed(found, 64) <= -(-sum(sizes) // 64) * 1.25 + 1
+
+
 def test_pack_edges(spark):
     df = spark.createDataFrame([(1, None), (2, 0), (3, 65), (4, 64), (5, 64)], "i int, length int")
     found = {r["i"]: r["sequence_id"] for r in packing.pack(df, 64).collect()}
@@ -120,7 +154,6 @@ def test_pack_documents(spark):
     found = packing.pack_documents(df, with_ids=True).collect()
     check_packed(found, 2048)
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     for d, text in enumerate([*ODD, "word " * 5000]):
         parts = sorted((r for r in found if r["doc_id"] == d), key=lambda r: r["piece"])
         ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
