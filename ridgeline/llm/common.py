@@ -45,9 +45,14 @@ def release() -> None:
     """Give back what a Python worker keeps from earlier work: free heap, and the encoder of an operator that has ended."""
     if tokens := sys.modules.get("ridgeline.llm.tokens"):
         tokens.encoder.cache_clear()
+    trim()
+
+
+def trim() -> None:
+    """Give free heap back."""
     pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
+    if call := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        call(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ridgeline.llm.common import clean, stage
+from ridgeline.llm.common import clean, stage, trim
 from ridgeline.llm.tokens import encoder as shared_encoder
-from ridgeline.llm.tokens import ended
+from ridgeline.llm.tokens import encoded
 
 CAPACITY = 2048
 #: Bands end at the capacity divided by these; the last one takes all that is smaller.
@@ -228,19 +228,19 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACI
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(vocabulary, spaced)
-        for batch in it:
-            ids, offsets = ended(*encoder.encode(batch.column("text")), end_id)
-            ids = ids.astype("<u4")
-            n = -(-np.diff(offsets) // capacity)  # every document has its end id at least
-            first = np.cumsum(n) - n
-            of = np.repeat(np.arange(batch.num_rows), n)
-            piece = np.arange(len(of)) - first[of]
-            start = piece * capacity
-            length = np.minimum(np.diff(offsets)[of] - start, capacity)
-            raw, begin = memoryview(ids.tobytes()), (offsets[of] + start) * 4
-            parts = [raw[a:b] for a, b in zip(begin.tolist(), (begin + 4 * length).tolist())]
-            columns = [batch.column("doc_id").take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
-            yield pa.record_batch(columns + [pa.array([bytes(x) for x in parts], pa.binary())] * with_ids, names=names)
+        for whole in it:
+            trim()
+            for i, j, ids, offsets in encoded(encoder, whole.column("text"), end_id):
+                n = -(-np.diff(offsets) // capacity)  # every document has its end id at least
+                first = np.cumsum(n) - n
+                of = np.repeat(np.arange(j - i), n)
+                piece = np.arange(len(of)) - first[of]
+                start = piece * capacity
+                length = np.minimum(np.diff(offsets)[of] - start, capacity)
+                raw, begin = memoryview(ids.astype("<u4").tobytes()), (offsets[of] + start) * 4
+                parts = [raw[a:b] for a, b in zip(begin.tolist(), (begin + 4 * length).tolist())]
+                columns = [whole.column("doc_id").take(pa.array(i + of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+                yield pa.record_batch(columns + [pa.array([bytes(x) for x in parts], pa.binary())] * with_ids, names=names)
 
     return clean(docs).mapInArrow(run, kind)
 

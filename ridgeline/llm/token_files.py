@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import rans
-from ridgeline.llm.common import clean, fresh, passing, shuffle_partitions, stage
+from ridgeline.llm.common import clean, fresh, passing, shuffle_partitions, stage, trim
 from ridgeline.llm.tokens import encoder as shared_encoder
-from ridgeline.llm.tokens import ended
+from ridgeline.llm.tokens import encoded
 
 BLOCK_TOKENS = 1 << 19
 _SLICE = 1024
@@ -39,11 +39,12 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int, spaced: bool) -> Dat
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, at, part = shared_encoder(vocabulary, spaced), 0, TaskContext.get().partitionId()
         for batch in it:
-            ids, offsets = ended(*encoder.encode(batch.column("text")), end_id)
-            raw, size = memoryview(ids.tobytes()), encoder.dtype.itemsize
-            each = [bytes(raw[a * size : b * size]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.record_batch([pa.array(np.full(len(each), part, np.int32)), pa.array(at + offsets[:-1]), batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(each, pa.binary())], schema=schema)
-            at += int(offsets[-1])
+            trim()
+            for i, j, ids, offsets in encoded(encoder, batch.column("text"), end_id):
+                raw, size = memoryview(ids.tobytes()), encoder.dtype.itemsize
+                each = [bytes(raw[a * size : b * size]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                yield pa.record_batch([pa.array(np.full(j - i, part, np.int32)), pa.array(at + offsets[:-1]), batch.column("doc_id").slice(i, j - i), pa.array(np.diff(offsets)), pa.array(each, pa.binary())], schema=schema)
+                at += int(offsets[-1])
 
     ordered = clean(docs).repartitionByRange(2 * shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     return stage(ordered.mapInArrow(run, _TOKENS), "tokens", dictionary=False)

@@ -12,11 +12,14 @@ from __future__ import annotations
 import functools
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ridgeline.llm.common import slices, utf8
+
 _MARK = "\x00"
 #: Letters (and a few signs that count as such here), then stops, then nothing.
 _WORD = re.compile(r"([^\W\d_]+)([.,;:!?]*)")
@@ -179,7 +182,7 @@ class Encoder:
             self._forget()
         whole = np.full(n, self.all_whole)
         for a in self.added:
-            whole |= np.asarray(pc.match_substring(texts, a))
+            whole |= np.asarray(pc.match_substring(texts, a, ignore_case=True))  # lower case makes one of <|EndOfText|>, too
         split = pc.split_pattern(self._prepared(pc.if_else(pa.array(whole), "", texts)), " ")
         at = np.asarray(split.offsets).astype(np.int64)
         coded = split.flatten().dictionary_encode()
@@ -222,6 +225,13 @@ class Encoder:
         return ids, offsets
 
 
+def encoded(found: Encoder, texts: pa.Array, end_id: int, run: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(rows i to j, ids with an end id after each text, offsets) for runs of texts of about ``run`` bytes."""
+    _, offsets = utf8(texts)
+    for i, j in slices(offsets, run):
+        yield i, j, *ended(*found.encode(texts.slice(i, j - i)), end_id)
+
+
 def ended(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same texts with an end id after each."""
     return np.insert(ids, offsets[1:], end_id), offsets + np.arange(len(offsets))
@@ -230,4 +240,4 @@ def ended(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray
 @functools.lru_cache(2)
 def encoder(name: str, spaced: bool) -> Encoder:
     """One encoder for all tasks of a Python worker, with what it has cached so far."""
-    return Encoder(name, spaced, 1_200_000)
+    return Encoder(name, spaced, 800_000)
