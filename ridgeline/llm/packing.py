@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ridgeline.llm.common import clean, stage, trim
+from ridgeline.llm.common import clean, release, stage, trim
 from ridgeline.llm.tokens import encoder as shared_encoder
 from ridgeline.llm.tokens import encoded
 
@@ -99,6 +99,7 @@ def _swept(gaps: DataFrame, open_: DataFrame, parts: int, capacity: int) -> Data
     both = gaps.select(F.lit(GAP).alias("what"), "id", "size").unionByName(open_.select(F.lit(OPEN).alias("what"), "id", "size"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what tokenizing has left
         batches = [b for b in it if b.num_rows]
         if batches:
             what, ids, sizes = _arrays(pa.Table.from_batches(batches), "what", "id", "size")
@@ -157,6 +158,7 @@ def _dealt(swept: DataFrame, totals: dict[int, tuple[int, int]], parts: int, cap
             yield pa.record_batch([*batch.columns, pa.array(to.astype(np.int32))], names=[*_NAMES, "target"])
 
     def again(group: pa.Table) -> pa.Table:
+        release()
         what, ids, sizes = _arrays(group, "what", "id", "size")
         gap, part = what == GAP, group.column("target")[0].as_py()
         return pa.Table.from_batches([_state(part, *sweep(ids[gap], sizes[gap], ids[~gap], sizes[~gap], capacity, opens.get(part, 0)), capacity)])

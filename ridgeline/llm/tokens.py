@@ -240,4 +240,4 @@ def ended(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray
 @functools.lru_cache(2)
 def encoder(name: str, spaced: bool) -> Encoder:
     """One encoder for all tasks of a Python worker, with what it has cached so far."""
-    return Encoder(name, spaced, 800_000)
+    return Encoder(name, spaced, 800_000 if spaced else 400_000)
