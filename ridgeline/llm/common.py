@@ -27,10 +27,20 @@ MULT = U64(0x9E3779B97F4A7C15)
 MULT2 = U64(0xC2B2AE3D27D4EB4F)
 
 
+#: Bytes of text that one chunk has, about: what one Python worker holds at a time.
+CHUNK_BYTES = 4 << 20
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def chunks_of(docs: DataFrame) -> int:
+    """How many chunks a table is dealt to: by its bytes, and two for each shuffle partition at least."""
+    size = docs.select(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    return max(2 * shuffle_partitions(docs.sparkSession), -(-size // CHUNK_BYTES))
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id is in fold 0."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -126,7 +136,13 @@ class Words:
 
 def per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of ``values`` (one for each byte or word) over each text."""
-    total = np.concatenate(([0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)))
+    if values.dtype.kind == "f":  # each text by itself, so that a sum does not depend on what is around it
+        out = np.zeros((len(offsets) - 1, *values.shape[1:]))
+        some = np.flatnonzero(np.diff(offsets))
+        if len(some):
+            out[some] = np.add.reduceat(values, offsets[some], axis=0, dtype=np.float64)
+        return out
+    total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
     return total[offsets[1:]] - total[offsets[:-1]]
 
 

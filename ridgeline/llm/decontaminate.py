@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import Words, clean, gram_rows, grams, release, slices, utf8
+from ridgeline.llm.common import Words, clean, gram_rows, grams, release, slices, stage, utf8
 
 WORDS = 5
 THRESHOLD = 0.8
 BROADCAST_BYTES = 32 << 20
+#: Beyond that: bits of the filter of sketch hashes, and shares of a hash that many documents hold.
+BLOOM_BITS, SALTS = 25, 16
 _PAIRS = "doc_id long, item_id long, n_shared long, n_shingles long, containment double"
 
 
@@ -142,7 +144,9 @@ def _broadcast(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame
 
 def _joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """For a benchmark too large to broadcast: rows of sketch hashes meet rows of shingle hashes, then texts meet texts."""
-    short = list(range(1, WORDS))
+    spark = docs.sparkSession
+    lengths = items.select(F.size(F.filter(F.split(F.col("text"), r"[ \t-\r]+"), lambda w: w != "")).alias("n")).where(f"n BETWEEN 1 AND {WORDS - 1}").distinct()
+    short = sorted(r["n"] for r in lengths.collect())  # four numbers at most: only lengths that items have are looked for
 
     def sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -160,7 +164,11 @@ def _joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
                 doc = np.asarray(batch.column("_doc").slice(i, j - i))
                 for n in [WORDS, *short]:
                     at = gram_rows(words.first, n)
-                    yield pa.record_batch([pa.array(doc[words.doc()[at]]), pa.array(grams(words.key, n)[at].view(np.int64))], names=["_doc", "_hash"])
+                    hashes, of = grams(words.key, n)[at], words.doc()[at]
+                    for shift in shifts:
+                        some = bits.value[(hashes >> np.uint64(shift)).astype(np.uint32) & mask]
+                        hashes, of = hashes[some], of[some]
+                    yield pa.record_batch([pa.array(doc[of]), pa.array(hashes.view(np.int64))], names=["_doc", "_hash"])
 
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -177,11 +185,41 @@ def _joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     # Keys of rows are hashes of what they hold, so a recomputed task makes them again; equal rows are told apart by count.
     documents = clean(docs).groupBy("doc_id", "text").agg(F.count("*").alias("_copies")).withColumn("_doc", F.xxhash64("doc_id", "text"))
     tests = items.groupBy("item_id", "text").agg(F.count("*").alias("_same")).withColumn("_item", F.xxhash64("item_id", "text"))
-    pairs = documents.select("_doc", "text").mapInArrow(hashed, "_doc long, _hash long").join(tests.select("_item", "text").mapInArrow(sketch, "_item long, _hash long").distinct(), "_hash").select("_doc", "_item").distinct()
+    sketches = stage(tests.select("_item", "text").mapInArrow(sketch, "_item long, _hash long").distinct(), "sketches")
+    shifts, mask = (0, 29), np.uint32((1 << BLOOM_BITS) - 1)
+    bits = spark.sparkContext.broadcast(_bloom(sketches, shifts, mask))  # of a fixed size: what no sketch has is not shuffled
+    # what many documents hold is dealt by document, and the sketches with it to each share
+    salted = sketches.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    held = documents.select("_doc", "text").mapInArrow(hashed, "_doc long, _hash long").withColumn("_salt", F.pmod("_doc", F.lit(SALTS)).cast("int"))
+    pairs = held.join(salted, ["_hash", "_salt"]).select("_doc", "_item").distinct()
     both = pairs.join(tests.withColumnRenamed("text", "item"), "_item").join(documents, "_doc").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies") * F.col("_same"))))
     return both.select("doc_id", "text", "item_id", "item").mapInArrow(verify, _PAIRS)
 
 
+def _bloom(sketches: DataFrame, shifts: tuple[int, ...], mask: np.uint32) -> np.ndarray:
+    """Which low bits (at each shift) some sketch hash has: set in each task, by slices, then put together."""
+    width = 1 << 16
+
+    def mark(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(int(mask) + 1, bool)
+        for batch in it:
+            hashes = np.asarray(batch.column(0)).view(np.uint64)
+            for shift in shifts:
+                bits[(hashes >> np.uint64(shift)).astype(np.uint32) & mask] = True
+        for k in np.flatnonzero(bits.reshape(-1, width).any(1)).tolist():
+            yield pa.record_batch([pa.array([k]), pa.array([np.packbits(bits[k * width : (k + 1) * width]).tobytes()])], names=["slice", "bits"])
+
+    def either(part: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(x.as_buffer(), np.uint8) for x in part.column("bits")]
+        return pa.table({"slice": part.column("slice").slice(0, 1), "bits": [np.bitwise_or.reduce(rows).tobytes()]})
+
+    kind = "slice long, bits binary"
+    out = np.zeros(int(mask) + 1, bool)
+    for row in sketches.select("_hash").mapInArrow(mark, kind).groupBy("slice").applyInArrow(either, kind).collect():  # 2^BLOOM_BITS bits in all
+        out[row["slice"] * width : (row["slice"] + 1) * width] = np.unpackbits(np.frombuffer(row["bits"], np.uint8))
+    return out
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Production parameters: five words, containment of 0.8 or more."""
     return contained(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

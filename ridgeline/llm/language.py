@@ -10,23 +10,23 @@ looks each byte up once in most cases.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import MULT, U64, clean, fold, slices, utf8
+from ridgeline.llm.common import MULT, U64, clean, fold, per_text, slices, utf8
 
 ORDER = 4
-#: Training texts of each language: those with the smallest hash of doc_id, about this many, whole.
-TEXTS_A_LANGUAGE = 400
+#: Training texts of each language: those with the smallest hash of doc_id, about this many, whole, as far as so many bytes go.
+TEXTS_A_LANGUAGE, BYTES_A_LANGUAGE = 400, 4 << 20
+#: Languages that are learnt: the most frequent ones, of equals the first by name.
+LANGUAGES = 200
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 class Index:
@@ -156,9 +156,7 @@ class Model:
             hit = place >= 0
             total[left[hit]] = spent[hit] + self.nodes[order - 2][1][place[hit]]
             left, spent = left[~hit], spent[~hit]
-        ends = np.concatenate(([0], np.cumsum(size)))
-        sums = np.concatenate((np.zeros((1, len(self.languages))), np.cumsum(total, 0, dtype=np.float64)))
-        return sums[ends[1:]] - sums[ends[:-1]], size
+        return per_text(total, np.concatenate(([0], np.cumsum(size)))), size
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; texts that are null or without a letter are ``und`` with score 0."""
@@ -166,7 +164,8 @@ class Model:
         _, offsets = utf8(texts)
         for i, j in slices(offsets, 1 << 19):
             part = texts.slice(i, j - i)
-            some = [k for k, t in enumerate(part.to_pylist()) if t and _LETTER.search(t)]
+            lettered = pc.match_substring_regex(part.cast(pa.large_string()), r"\p{L}").fill_null(False)
+            some = np.flatnonzero(np.asarray(lettered)).tolist()
             if not some or not self.languages:
                 continue
             bits, size = self.code_lengths(part.take(pa.array(some)).combine_chunks() if isinstance(part, pa.ChunkedArray) else part.take(pa.array(some)))
@@ -178,18 +177,25 @@ class Model:
 
 
 def fit(docs: DataFrame, where=None) -> Model:
-    """From whole texts of a bounded sample of rows with text and lang, chosen by hash of doc_id; text and lang only are learnt."""
+    """From whole texts of a bounded sample of rows with text and lang, chosen by hash of doc_id; text and lang only are learnt.
+
+    The bound: LANGUAGES, TEXTS_A_LANGUAGE and BYTES_A_LANGUAGE; a longer text than that is none of the sample.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull())
     if where is not None:
         rows = rows.where(where)
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    frequent = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in frequent.collect()}
     if not counts:
         return Model()
     rate = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, TEXTS_A_LANGUAGE / n)]), F.col("lang"))
     texts: dict[str, list[str]] = {}
-    for row in rows.where((share < rate) & F.col("text").isNotNull()).select("doc_id", "lang", "text").collect():
+    sample = rows.where(F.col("lang").isin(*counts)).where((share < rate) & F.col("text").isNotNull())
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    sample = sample.withColumn("_bytes", F.sum(F.octet_length("text").cast("long")).over(order)).where(F.col("_bytes") <= BYTES_A_LANGUAGE)
+    for row in sample.select("doc_id", "lang", "text").collect():
         texts.setdefault(row["lang"], []).append(row["text"])
     return Model.fit({k: sorted(v) for k, v in texts.items() if any(v)})
 

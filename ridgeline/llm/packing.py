@@ -27,7 +27,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ridgeline.llm.common import clean, release, stage, trim
 from ridgeline.llm.tokens import encoder as shared_encoder
@@ -179,7 +178,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     pieces. An empty table stays empty. Other columns pass; the names _pid, sequence_id and offset are taken.
     """
     kept = [c for c in pieces.columns if c not in ("_pid", "sequence_id", "offset")]
-    rows = stage(numbered(pieces.select(kept).withColumn("length", F.col("length").cast("long"))), "pieces")
+    rows = stage(pieces.select(kept).withColumn("length", F.col("length").cast("long")).withColumn("_pid", F.monotonically_increasing_id()), "pieces")  # fixed once written
     size = rows.where(F.col("length").between(1, capacity)).select(F.col("_pid").alias("id"), F.col("length").alias("size"))
     parts = max(1, -(-rows.count() // RANGE_ROWS))
     bounds = sorted({capacity, *(capacity // b for b in BANDS)}, reverse=True)[1:] + [0]
@@ -210,19 +209,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return rows.join(places, "_pid", "left").select(*kept, "sequence_id", "offset")
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """Adds ``_pid``, a number for each row by partition and place; to be written before it is used."""
-    out = StructType(list(df.schema.fields)).add("_pid", "long")
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 40
-        for batch in it:
-            yield pa.record_batch([*batch.columns, pa.array(np.arange(at, at + batch.num_rows))], names=[*batch.schema.names, "_pid"])
-            at += batch.num_rows
-
-    return df.mapInArrow(run, out)
-
-
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, spaced: bool = False, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document: ids and the end id, cut only where they are over the capacity."""
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids

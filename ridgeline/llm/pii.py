@@ -41,7 +41,7 @@ GAZETTEER = {
     "phone": "phone|tel|call|mobile|fax|telefon|teléfono|téléphone",
     "secret": "token|key|secret|password|passwd|pwd|apikey|api_key|access_token",
 }
-SECRET = rf"(?i)(?<![A-Za-z])(?:{GAZETTEER['secret']})\x20?[:=]\x20?\"?[A-Za-z0-9+/_-]{{12,200}}+"
+SECRET = rf"(?i)(?<![A-Za-z])(?:{GAZETTEER['secret']})\x20?[:=]\x20?\"?[A-Za-z0-9+/_-]{{12,}}+"
 LABELERS = ["shape", "value", "gazetteer", "around", "mix"]
 
 
@@ -248,8 +248,8 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``text`` with each span replaced by its kind in brackets; other columns stay, null stays null."""
-    found = with_spans(docs)
-    weights = fit(stage(with_spans(docs.select("text")).select("_base", "_further"), "spans"))
+    found = stage(with_spans(docs), "spans", dictionary=False)
+    weights = fit(found)
     spans = F.array_sort(F.transform(F.concat("_base", accepted(F.col("_further"), weights)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 

@@ -68,8 +68,9 @@ def slots(words: Words) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     of_pairs = np.searchsorted(pair_doc, np.arange(len(words.offsets)))
     d = words.data.astype(np.uint32)
     tri = (d[:-2] << 16 | d[1:-1] << 8 | d[2:]) if len(d) > 2 else d[:0]
-    ends = np.minimum(words.offsets, len(tri))  # the trigrams that reach into the next text count as the earlier one's
-    chars = (tri * np.uint32(0x9E3779B1) >> np.uint32(32 - CHAR_BITS)).astype(np.int64)
+    within = gram_rows(words.offsets, 3)  # none reaches into the next text
+    ends = np.concatenate(([0], np.cumsum(np.maximum(np.diff(words.offsets) - 2, 0))))
+    chars = (tri[within] * np.uint32(0x9E3779B1) >> np.uint32(32 - CHAR_BITS)).astype(np.int64)
     return [
         ((words.key >> top).astype(np.int64), words.first),
         ((grams(words.key, 2, MULT2)[pairs] >> top).astype(np.int64) + (1 << WORD_BITS), of_pairs),

@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import MULT, MULT2, U64, Words, by_bucket, chunked, gram_rows, grams, group_min, member, mix, release, shuffle_partitions, slices, utf8
+from ridgeline.llm.common import MULT, MULT2, U64, Words, by_bucket, chunked, chunks_of, gram_rows, grams, group_min, member, mix, release, slices, utf8
 
 WINDOW = 13
 ROUNDS = 3
 _NONE = U64(2**64 - 1)
+#: Stands for a null id: before all others, like a document of that number.
+_BEFORE_ALL = -(2**63)
 _PACKED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
 _PACKED_DDL = "bucket int, chunk int, keys binary, more binary, low binary, high binary"
 
@@ -117,7 +119,7 @@ def _texts(group: pa.Table, limit: int = 1 << 20) -> Iterator[tuple[Words, np.nd
     """(words, id of each text; nulls as the least number, rows i to j) for runs of the group's texts."""
     release()
     data, offsets = utf8(group.column("text"))
-    ids = group.column("doc_id").combine_chunks().fill_null(-(2**63)).to_numpy()
+    ids = group.column("doc_id").combine_chunks().fill_null(_BEFORE_ALL).to_numpy()
     for i, j in slices(offsets, limit):
         yield Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), ids[i:j], i, j
 
@@ -185,11 +187,11 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]): words covered by a window that a smaller doc_id has, too, are gone.
 
     Null and empty texts have no words. Rows with equal doc_ids are one document for what counts as earlier: they keep what they
-    share. A null doc_id comes before all others. An empty table gives no rows; other columns are ignored.
+    share. A null doc_id comes before all others (one of -2^63 counts as the same document). An empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    n = shuffle_partitions(spark)
-    texts = chunked(docs, 2 * n)
+    chunks = chunks_of(docs)
+    n = chunks // 2
+    texts = chunked(docs, chunks)
 
     def witnessed(group: pa.Table) -> pa.Table:
         keys, lows, highs = [], [], []
@@ -225,7 +227,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -
 
     def _removed(key: tuple, group: pa.Table, answer: pa.Table) -> pa.Table:
         one, two, least = _sorted(answer)
-        out = []
+        out, names = [], group.column("doc_id").to_pylist()
         for words, ids, i, j in _texts(group):
             at, own = _windows(words, window)
             gone = np.zeros(len(words) + 1, np.int64)
@@ -247,7 +249,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -
                 a, b = words.first[d], words.first[d + 1]
                 stay = np.flatnonzero(~covered[a:b]) + a
                 kept = b" ".join([raw[s:e] for s, e in zip(words.start[stay].tolist(), words.end[stay].tolist())])
-                out.append((None if ids[d] == -(2**63) else int(ids[d]), int(b - a), int(b - a - len(stay)), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"))[: 4 + with_text])
+                out.append((names[i + d], int(b - a), int(b - a - len(stay)), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"))[: 4 + with_text])
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + with_text]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(names), types)], names=names)

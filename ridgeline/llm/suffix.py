@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm.common import BYTE_KEY, MULT, MULT2, U64, by_bucket, chunked, mix, release, shuffle_partitions, slices, stage, utf8
+from ridgeline.llm.common import BYTE_KEY, MULT, MULT2, U64, by_bucket, chunked, chunks_of, mix, release, slices, stage, utf8
 
 LENGTH = 400
 ANCHOR = 160
@@ -337,9 +337,9 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, wit
     """
     if length > LENGTH or anchor >= length:
         raise ValueError(f"length must be {LENGTH} at most and over the anchor")
-    spark = docs.sparkSession
-    n = shuffle_partitions(spark)
-    texts = chunked(docs, 2 * n)
+    chunks = chunks_of(docs)
+    n = chunks // 2
+    texts = chunked(docs, chunks)
 
     def seen(group: pa.Table) -> pa.Table:
         found = [(r.anchor, r.whole) for _, _, r, _, _ in _texts(group, length, anchor)]

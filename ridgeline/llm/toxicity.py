@@ -77,6 +77,11 @@ class Model:
         a, b = self.scale
         return 1 / (1 + np.exp(-np.clip(a * self.raw(data, offsets) + b, -30, 30)))
 
+    @staticmethod
+    def held(n: int) -> np.ndarray:
+        """Which of n rows training leaves out, for calibration."""
+        return np.arange(n) % 5 == 4
+
     @classmethod
     def fit(cls, texts: list[str], label: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.01) -> Model:
         rng, n_slots = np.random.default_rng(7), 1 << SLOT_BITS
@@ -86,8 +91,9 @@ class Model:
         model.weight, model.bias = rng.normal(0, 0.1, FILTERS * len(WIDTHS)).astype(np.float32), 0.0
         if not len(label) or label.min() == label.max():
             model.weight[:] = 0
+            model.bias = 30.0 if len(label) and label.max() else -30.0  # the one label there is, or nothing to call toxic
             return model
-        held = np.arange(len(label)) % 5 == 4
+        held = cls.held(len(label))
         train = np.flatnonzero(~held)
         rows = []
         for t in texts:
@@ -158,20 +164,22 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None) -> Model:
-    """``where``: which of the labels (by ``_id``) may be learnt from."""
+    """``where``: which of the labels (by ``_id``) may be learnt from. Without both labels every score is near the one there is, without any near 0."""
     texts, label = sampled_labels(docs, labels, "toxic", SAMPLE, where)
     return Model.fit(texts, label)
 
 
 def fit_with_languages(docs: DataFrame, labels: DataFrame, where: Column | None = None) -> Model:
-    """As ``fit``, with thresholds by language from the same sample."""
+    """As ``fit``, with thresholds by language from the part of the sample that training leaves out."""
     tagged = docs.withColumn("text", F.to_json(F.struct(F.col("text").cast("string").alias("t"), F.col("lang").cast("string").alias("l"))))
     import json
 
     rows, label = sampled_labels(tagged.where(docs["text"].isNotNull()), labels, "toxic", SAMPLE, where)
     pairs = [json.loads(x) for x in rows]
     model = Model.fit([p["t"] for p in pairs], label)
-    model.calibrate([p["t"] for p in pairs], label, [p.get("l") for p in pairs])
+    held = Model.held(len(pairs))
+    rest = [p for p, h in zip(pairs, held) if h]
+    model.calibrate([p["t"] for p in rest], label[held], [p.get("l") for p in rest])
     return model
 
 

@@ -98,6 +98,22 @@ def test_suffix_arrays(spark, monkeypatch, seed, hot):
     assert sorted(tuple(r)[:5] for r in found.collect()) == removed_bytes(texts, 60)
 
 
+def test_suffix_arrays_at_full_length(spark):
+    """Strings of 400 bytes with anchors of 160, as registered: passages around that length, copies, runs, null ids and repeated rows."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgé") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    shared = [text(200).encode()[:n].decode("utf-8", "ignore") for n in (380, 399, 400, 401, 410, 640)]
+    texts = [None, "", "x" * 399, "x" * 400, "y" * 401, "y" * 900, text(90)]
+    for passage in shared:
+        texts += [f"{text(30)} {passage} {text(40)}" for _ in range(3)]
+    texts += [texts[-1], texts[-1], text(60) + shared[3] + shared[3] + shared[5]]
+    ids = [*range(len(texts) - 2), None, None]
+    docs = spark.createDataFrame([(i, t, "en", 1) for i, t in zip(ids, texts)], "doc_id long, text string, anchors string, bucket int").repartition(3)
+    want = [(i, *rest) for i, (_, *rest) in zip(ids, removed_bytes(texts, suffix.LENGTH))]
+    assert sorted((tuple(r)[:5] for r in suffix.deduplicate(docs).collect()), key=str) == sorted(want, key=str)
+
+
 def test_suffix_array_order():
     rng = np.random.default_rng(3)
     for case in range(60):
@@ -148,6 +164,20 @@ def test_jaccard_edges(spark):
     assert found == sorted([(4, 2, 2), (2, 2, 2), (2, 2, 2), (1, 0, 1), (None, 2, None)], key=str)
 
 
+def test_many_rows_of_one_set(spark):
+    """Half of all rows have one set, a tenth nearly that one; a thousandth of all rows is under one row here, so every class is a hot one."""
+    base = " ".join(f"w{i}" for i in range(40))
+    texts = [base] * 50 + [f"{base} x{i}" for i in range(10)] + [f"other text number {i} here" for i in range(20)] + [""] * 20
+    found = sorted(map(tuple, jaccard.join(frame(spark, texts).repartition(5), 3, 90).collect()))
+    assert found == linked(texts, 3, 90)
+
+
+def test_blocks_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 300)
+    texts = corpus(5)
+    assert sorted(map(tuple, jaccard.join(frame(spark, texts).repartition(3), 3, 60).collect())) == linked(texts, 3, 60)
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100, 140)] + [(7, 3), (3, 7)], "a long, b long")
     found = {r["id"]: r["component"] for r in jaccard.components(links).collect()}
@@ -183,4 +213,8 @@ def test_containment(spark, monkeypatch, limit):
     got = decontaminate.contained(frame(spark, texts), bench)
     assert sorted(map(tuple, got.collect())) == contained(texts, items)
     assert decontaminate.contained(frame(spark, []), bench).count() == 0
+    whole = " ".join(["before", items[6][1], "after"])
+    again = spark.createDataFrame([(None, whole, 1, "x"), (3, whole, 1, "x"), (3, whole, 1, "x"), (3, "else", 1, "x"), (None, None, None, None)], DOCS)
+    twice = Counter(r["doc_id"] for r in decontaminate.contained(again, bench.where("item_id = 6")).collect())
+    assert twice == {3: 2, None: 1}
     assert decontaminate.contained(frame(spark, texts), bench.limit(0)).count() == 0

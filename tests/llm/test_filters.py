@@ -49,6 +49,58 @@ def test_language_held_out(spark):
     assert len(found) == 1000 and (held.lang == held.lang_pred).mean() > 0.95 and found.score.between(0, 1).all()
 
 
+def brute_code_length(texts, text, order):
+    """Bits of a text under counts of all contexts, a byte at a time."""
+    counts = {}
+    for t in texts:
+        raw = b"\n" * order + t.lower().encode()
+        for k in range(order, len(raw)):
+            for n in range(order + 1):
+                counts.setdefault(raw[k - n : k], Counter())[raw[k]] += 1
+    raw, total = b"\n" * order + text.lower().encode(), 0.0
+
+    def share(context, byte):
+        c = counts.get(context, Counter())
+        t, q = sum(c.values()), len(c)
+        if c[byte]:
+            return c[byte] / (t + q)
+        if not context:
+            return q / (t + q) / (256 - q) if c else 1 / 256
+        if not c:
+            return share(context[1:], byte)
+        taken = sum(share(context[1:], b) for b in c)
+        return q / (t + q) * share(context[1:], byte) / (1 - taken)
+
+    for k in range(order, len(raw)):
+        total -= np.log2(share(raw[k - order : k], raw[k]))
+    return total
+
+
+def test_code_lengths_equal_brute_force():
+    texts = {"a": ["abab abc é", "bca cab"], "b": ["xyz xyy", "Zyx a"]}
+    model = language.Model.fit(texts)
+    asked = ["abab", "", "xyz abc", "éé\nq", "A" * 30, "zyx zyx cab"]
+    bits, size = model.code_lengths(pa.array(asked, pa.large_string()))
+    for t, row in zip(asked, bits):
+        assert np.allclose(row, [brute_code_length(texts[name], t, language.ORDER) for name in model.languages], atol=1e-3)
+    for t, row in zip(asked, bits):  # whatever is around a text
+        assert (model.code_lengths(pa.array([t], pa.large_string()))[0][0] == row).all()
+
+
+def test_letters_are_of_category_l(spark):
+    docs = frame(spark, ["some english words", "½ ² 12 !", "٣٤", "ª", "字", "_"])
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, language.fit(docs)).collect()}
+    assert got == {0: "en", 1: "und", 2: "und", 3: "en", 4: "en", 5: "und"}
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "BYTES_A_LANGUAGE", 100)
+    monkeypatch.setattr(language, "LANGUAGES", 1)
+    docs = spark.createDataFrame([(i, "some words " * 2, "en", 0.5, 1) for i in range(20)] + [(99, "andere", "de", 0.5, 1), (None, "long " * 99, "en", None, None)] + [(3, "some words " * 2, "en", 0.5, 1)] * 2, DOCS)
+    model = language.fit(docs)
+    assert model.languages == ["en"] and language.identify(docs, model).count() == 24
+
+
 def test_language_edges(spark):
     docs = frame(spark, ["some english words here", None, "", "1234 !!", "long " * 50_000])
     model = language.fit(docs)
@@ -106,6 +158,34 @@ def test_toxicity_held_out(spark):
     assert len(found) == 1000 and hit > 0.6 and false < 0.1 and found.score.between(0, 1).all()
 
 
+def test_thresholds_come_from_what_training_leaves_out(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity.Model, "calibrate", lambda self, texts, label, language: seen.append((texts, label.tolist(), language)))
+    monkeypatch.setattr(toxicity.Model, "fit", classmethod(lambda cls, texts, label: seen.append(texts) or cls(np.zeros((2, 2, 1)))))
+    docs = spark.createDataFrame([(i, f"text {i}", "en", 0.5, 1) for i in range(50)], DOCS)
+    toxicity.fit_with_languages(docs, spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int"))
+    assert seen[1][0] == seen[0][4::5] and len(seen[1][1]) == 10 and seen[1][2] == ["en"] * 10
+
+
+def test_repeated_rows_and_null_ids_are_judged_alike(spark):
+    rows = [(1, "one text of words", "en", 0.5, 1)] * 3 + [(1, "another text", "en", 0.5, 1), (None, "one text of words", "en", None, None), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    for found in (quality.assess(docs, quality.fit(docs, labels)), toxicity.classify(docs, toxicity.fit(docs, labels)), pii.find(docs)):
+        got = [tuple(r)[1:] for r in found.collect()]
+        assert len(got) == 6 and max(Counter(got).values()) >= 4
+
+
+def test_quality_does_not_depend_on_neighbours():
+    rng = np.random.default_rng(0)
+    texts = ["", "a", "ab", "é", *(" ".join(f"w{k}" for k in rng.integers(0, 50, n)) for n in range(1, 60))]
+    model = quality.Model(rng.normal(0, 1, (2 << quality.WORD_BITS) + (1 << quality.CHAR_BITS)).astype(np.float32), 0.1, (0.7, 0.2))
+    alone = [model.probability(Words(*utf8(pa.array([t], pa.large_string()))))[0] for t in texts]
+    for order in (rng.permutation(len(texts)) for _ in range(4)):
+        data, offsets = utf8(pa.array([texts[i] for i in order], pa.large_string()))
+        assert model.probability(Words(data, offsets)).tolist() == [alone[i] for i in order]
+
+
 def test_toxicity_edges(spark):
     docs = frame(spark, ["fine words", None, "", "!!!", "idiot " * 3])
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -171,6 +251,12 @@ def test_secrets_are_added(spark):
     assert all("secret:" in r["spans"] and r["n_email"] == 1 for r in rows)
 
 
+def test_long_secrets_are_found_whole(spark):
+    secret = "Ab1+" * 1500
+    docs = frame(spark, [f"text api_key = {secret} end", *(f"token: {hashlib.sha1(bytes([i])).hexdigest()}" for i in range(30))])
+    assert pii.redact(docs).orderBy("doc_id").first()["text"] == "text [SECRET] end"
+
+
 def test_redaction(spark):
     docs = frame(spark, ["write to a.b@c.org, call +1 (415) 555-2671 é 10.0.0.1.", None, "nothing"])
     got = [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()]
