@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. The first four return the columns of
 documents; the last returns packed pieces. ``run`` writes each stage to the shared folder and reads it again.
+
+A row is a document of its own: rows with a null doc_id, or with one that other rows have, too, are judged and kept or dropped by
+themselves, never with the rows of that id. Stages that drop number the rows first; these numbers are the operators' doc_ids.
+Null and empty texts are not toxic, no copies, contaminated by nothing and hold no personal data; packing gives them the end id. An
+empty table passes all stages. Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -24,18 +29,29 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(~toxicity.rejected(scored, model)).select(COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The columns of documents and ``_row``, a number for each row that is fixed once it is written."""
+    return stage(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows", dictionary=False)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group that links connect; documents without words all stay."""
-    groups = jaccard.join(docs, NEAR_WORDS, NEAR_PERCENT)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(COLUMNS)
+    """Keeps one row of each group that links connect: the one with the smallest doc_id, null ones last; rows without words all stay."""
+    rows = numbered(docs)
+    groups = jaccard.join(rows.select(F.col("_row").alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT)
+    groups = stage(groups.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "groups")
+    several = groups.where("_row <> _group").select("_group").distinct()
+    members = groups.join(several, "_group", "left_semi")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = members.join(rows.select("_row", "doc_id"), "_row").groupBy("_group").agg(F.min_by("_row", order).alias("_row"))
+    gone = members.select("_row").join(first.select("_row"), "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    found = decontaminate.contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(COLUMNS)
+    rows = numbered(docs)
+    found = decontaminate.contained(rows.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(found.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(COLUMNS)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
