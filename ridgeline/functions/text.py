@@ -147,6 +147,25 @@ def count_runs(c: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(LETTERS_DIGITS), F.lit(0)))
 
 
+def chunk_windows(c: Column, size: int = 1200, overlap: int = 200) -> Column:
+    """Overlapping pieces of a text, its white space collapsed first.
+
+    A piece begins every ``size - overlap`` characters until one reaches the end; it has ``size`` characters, or goes to the last space
+    in them if a third of the size (100 at least) is before that.
+    """
+    t = strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    stride = max(1, size - overlap)
+    last = F.greatest(F.lit(0), F.ceil((F.length(t) - size) / stride)).cast("int")
+
+    def piece(k: Column) -> Column:
+        whole = F.substring(t, k * stride + 1, F.lit(size))
+        spaced = F.length(F.regexp_replace(whole, " [^ ]*$", ""))
+        short = (k < last) & (spaced < F.length(whole)) & (spaced > max(100, size // 3))
+        return strip(F.when(short, F.left(whole, spaced)).otherwise(whole))
+
+    return F.filter(F.transform(F.sequence(F.lit(0), last), piece), lambda p: p != "")
+
+
 def section_key(c: Column) -> Column:
     """Section of a chunk id: ``D_abstract`` is in ``D.abstract``, ``D.1.2`` in ``D.1``; others stand for themselves."""
     return F.when(c.endswith("_abstract"), F.regexp_replace(c, "_abstract$", ".abstract")).otherwise(F.regexp_replace(c, r"^(.*)\.(\d+)\.(\d+)$", "$1.$2"))
@@ -157,6 +176,46 @@ def doc_key(c: Column) -> Column:
     return F.when(c.endswith("_abstract"), F.regexp_replace(c, "_abstract$", "")).otherwise(F.regexp_replace(c, r"^(.*)\.(\d+)\.(\d+)$", "$1"))
 
 
+def doc_of_chunk(c: Column) -> Column:
+    """The document that a chunk's id names: without ``_abstract``, or without its last two parts, or the last of two."""
+    parts = F.split(strip(c), r"\.")
+    n = F.size(parts)
+    shorter = F.array_join(F.slice(parts, 1, F.greatest(F.lit(1), F.when(n >= 3, n - 2).otherwise(n - 1))), ".")
+    return F.when(strip(c).endswith("_abstract"), F.regexp_replace(strip(c), "_abstract$", "")).otherwise(shorter)
+
+
+def doc_of_section(c: Column) -> Column:
+    """The document that a section's id names: without ``.abstract`` or a number at the end."""
+    t = strip(c)
+    return F.when(t.endswith(".abstract"), F.regexp_replace(t, r"\.abstract$", "")).otherwise(F.regexp_replace(t, r"(?U)\.\d+$", ""))
+
+
+def comparison_parts(c: Column) -> Column:
+    """struct<first, second> of ``first_vs_second``; null without the mark."""
+    parts = F.split(c, "_vs_", 2)
+    return F.when(F.contains(c, F.lit("_vs_")), F.struct(parts[0].alias("first"), parts[1].alias("second")))
+
+
+def section_order(c: Column) -> Column:
+    """The number after ``ch`` in a section's id; sections without one come last."""
+    return F.coalesce(F.nullif(F.regexp_extract(c, r"^.*?ch(\d+)(?:ch.*)?$", 1), F.lit("")).cast("int"), F.lit(999_999))
+
+
+def qid_order(c: Column) -> Column:
+    """struct<number, id>: ``Q12`` and ``Qx12`` by their number, other ids by the last number in them, those without one last."""
+    numbers = F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1))
+    return F.struct(F.coalesce(F.when(F.size(numbers) > 0, F.element_at(numbers, -1).cast("long")), F.lit(10**9)).alias("number"), c.alias("id"))
+
+
+def safe_int(c: Column) -> Column:
+    """The whole number that a string is; null for anything else."""
+    return F.when(strip(c.cast("string")).rlike(r"^[+-]?\d+$"), strip(c.cast("string"))).try_cast("long")
+
+
+def safe_double(c: Column) -> Column:
+    return F.nullif(strip(c.cast("string")), F.lit("")).try_cast("double")
+
+
 def pmid_from_url(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"(\d+)(?:[/?#].*)?$", 1), F.lit(""))
 

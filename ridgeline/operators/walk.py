@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.config import Drill, Expand, Score
 from ridgeline.functions import text as T
 from ridgeline.functions import vectors as V
-from ridgeline.operators import dense
+from ridgeline.operators import dense, ranking
 from ridgeline.staging import stage
 
 #: Hops of a node that the walk did not reach, and the score of a node that does not exist.
@@ -25,16 +27,20 @@ def _both(sections: DataFrame) -> DataFrame:
     return sections.select(F.col("section_id").alias("id"), F.explode(F.array("e_local", "e_subtree")).alias("embedding"))
 
 
-def drill(sections: DataFrame, queries: DataFrame, config: Drill = Drill()) -> DataFrame:
+def drill(sections: DataFrame, queries: DataFrame, config: Drill = Drill(), scope: DataFrame | None = None) -> DataFrame:
     """(qid, section_id, local): seeds, from the roots down to where nothing is left to open, however deep.
 
     A section with text is a seed if its own similarity is high enough and not far below its best child's; else its best
     children are opened. A tree level is one join from the open sections to their children, which alone are
     scored; each level is staged. The percentile mode needs the extremes of all scores: one pass of block products.
-    sections: (section_id, parent_id, child_pos, level, local_text, e_local, e_subtree); queries: (qid, qvec).
+    sections: (section_id, parent_id, child_pos, level, local_text, e_local, e_subtree); queries: (qid, qvec);
+    scope: (qid, section_id, level, local, subtree) if each query has sections of its own, whose trees are in it whole.
     """
     rows = sections.select("section_id", "parent_id", "child_pos", (T.strip(F.col("local_text")) != "").alias("has_text"), "e_local", "e_subtree")
-    limits = stage(dense.extremes(_both(sections), queries), "limits") if config.threshold_mode == "percentile" else None
+    limits = None
+    if config.threshold_mode == "percentile":
+        limits = stage(dense.extremes(_both(sections), queries) if scope is None else _extremes(scope), "limits")
+    first = roots(sections, queries, config) if scope is None else scoped_roots(scope, config)
 
     def scored(pairs: DataFrame) -> DataFrame:
         local, subtree = V.cosine(F.col("qvec"), F.col("e_local")), V.cosine(F.col("qvec"), F.col("e_subtree"))
@@ -49,7 +55,7 @@ def drill(sections: DataFrame, queries: DataFrame, config: Drill = Drill()) -> D
         taken = F.col("pos") <= F.greatest(F.lit(1), F.ceil(F.col("n") * config.rank_top_p))
     else:
         taken = (F.col("pos") <= config.top_k) & (scaled(F.col("best")) >= config.tau_child)
-    open_ = stage(scored(roots(sections, queries, config).select("qid", "section_id").join(rows, "section_id")), "open")
+    open_ = stage(scored(first.select("qid", "section_id").join(rows, "section_id")), "open")
     reached, seeds = open_.select("qid", "section_id"), None
     while True:
         children = scored(open_.select("qid", F.col("section_id").alias("parent_id")).join(rows, "parent_id"))
@@ -67,6 +73,29 @@ def drill(sections: DataFrame, queries: DataFrame, config: Drill = Drill()) -> D
         reached = reached.unionByName(open_.select("qid", "section_id"))
 
 
+def scoped(documents: DataFrame, sections: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, section_id, level, local, subtree) of the sections of each query's documents. documents: (qid, doc_id); sections with doc_id."""
+    pairs = documents.select("qid", "doc_id").join(sections.select("section_id", "doc_id", "level", "e_local", "e_subtree"), "doc_id").join(queries.select("qid", "qvec"), "qid")
+    local, subtree = V.cosine(F.col("qvec"), F.col("e_local")), V.cosine(F.col("qvec"), F.col("e_subtree"))
+    return pairs.select("qid", "section_id", "level", F.round(local, 6).alias("local"), F.round(subtree, 6).alias("subtree"))
+
+
+def scoped_roots(scope: DataFrame, config: Drill = Drill()) -> DataFrame:
+    """(qid, section_id, subtree, rank): the best level-1 sections of each query's own."""
+    return ranking.top_k(scope.where("level = 1").select("qid", "section_id", "subtree"), config.top_r, score="subtree", tie="section_id")
+
+
+def _extremes(scope: DataFrame) -> DataFrame:
+    known = scope.select("qid", F.explode(F.array("local", "subtree")).alias("v")).where("v > -1")
+    return known.groupBy("qid").agg(F.min("v").alias("qmin"), F.max("v").alias("qmax"))
+
+
+def ranked_seeds(seeds: DataFrame) -> DataFrame:
+    """(qid, node, rank): seeds by similarity, then id."""
+    order = Window.partitionBy("qid").orderBy(F.col("local").desc(), "section_id")
+    return seeds.select("qid", F.col("section_id").alias("node"), F.row_number().over(order).alias("rank"))
+
+
 def expand(seeds: DataFrame, edges: DataFrame, config: Expand = Expand()) -> DataFrame:
     """(qid, node, dist): nodes within ``max_depth`` hops, without a limit on their number; each level is staged and has new nodes only.
 
@@ -87,9 +116,11 @@ def _allowed(edges: DataFrame, config: Expand) -> DataFrame:
     return edges.where(F.col("rel").isin(*config.allowed_relations)) if config.allowed_relations else edges
 
 
-def expand_capped(seeds: DataFrame, edges: DataFrame, config: Expand = Expand()) -> tuple[DataFrame, DataFrame]:
+def expand_capped(seeds: DataFrame, edges: DataFrame, config: Expand = Expand(), allowed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes (qid, node, dist, rank), traversed edges (qid, src, dst, rel, dist)) with at most ``max_nodes`` nodes a query.
 
+    ``allowed``: (qid, node) if each query may only walk on nodes of its own.
+
     A level is one join: edges of the frontier in order of (frontier rank, edge place); each new node is known by the first
     edge that reaches it; the first that fit under the limit join. Edges count up to the one that found the last node.
     """
@@ -99,6 +130,8 @@ def expand_capped(seeds: DataFrame, edges: DataFrame, config: Expand = Expand())
     for d in range(1, config.max_depth + 1):
         have = nodes.groupBy("qid").agg(F.count("*").alias("have"), F.max("rank").alias("last")).where(F.col("have") < config.max_nodes)
         scan = frontier.select("qid", F.col("node").alias("src"), "rank").join(have, "qid").join(edges, "src")
+        if allowed is not None:
+            scan = scan.join(allowed.select("qid", F.col("node").alias("dst")), ["qid", "dst"], "left_semi")
         at = F.row_number().over(Window.partitionBy("qid").orderBy("rank", "edge_pos", "dst"))
         known = nodes.select("qid", F.col("node").alias("dst"), F.lit(True).alias("known"))
         scan = scan.withColumn("at", at).join(known, ["qid", "dst"], "left")
@@ -154,6 +187,51 @@ def section_candidates(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.join(texts, "section_id").select("qid", "section_id", "score", "node_ids", F.split("text", "\n")[0].alias("title"), "text")
 
 
+def ordered_candidates(candidates: DataFrame) -> DataFrame:
+    """Candidates with ``rank``: by score, of equals by the number in the section's id."""
+    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), T.section_order(F.col("section_id")), "section_id")
+    return candidates.withColumn("rank", F.row_number().over(order))
+
+
+@dataclass(frozen=True)
+class Walk:
+    """What one walk of all queries gives: staged tables by step."""
+
+    seeds: DataFrame  # (qid, node, rank)
+    nodes: DataFrame  # (qid, node, dist, rank)
+    edges: DataFrame  # (qid, src, dst, rel, dist): traversed, with both ends among the nodes
+    ranked: DataFrame  # (qid, node_id, section_id, node_type, score, rank)
+
+
+def run(sections: DataFrame, nodes: DataFrame, edges: DataFrame, queries: DataFrame, drill_: Drill = Drill(), expand_: Expand = Expand(), score: Score = Score(), top_k: int = 20, seeds: DataFrame | None = None, allowed: DataFrame | None = None) -> Walk:
+    """The whole walk: drill-down finds seeds, bounded expansion goes on from them, what it reaches is scored and ranked.
+
+    ``seeds`` and ``allowed``: for walks inside some documents of each query.
+    """
+    seeds = stage(ranked_seeds(drill(sections, queries, drill_)) if seeds is None else seeds, "seeds")
+    reached, traversed = expand_capped(seeds, edges, expand_, allowed)
+    ranked = stage(top_nodes(node_scores(nodes, queries, sections, reached, score), top_k), "ranked")
+    return Walk(seeds, reached, graph_context(traversed, reached), ranked)
+
+
+def diagnostics(walk: Walk) -> DataFrame:
+    """(qid, seeds, nodes, edges, max_dist, ranked, score_min, score_max, score_mean, types, relations): one row a query with seeds.
+
+    types and relations: ``name:count`` of the ranked nodes' types and of the traversed edges, by name.
+    """
+    def histogram(rows: DataFrame, name: str, out: str) -> DataFrame:
+        counted = rows.groupBy("qid", name).agg(F.count("*").alias("n")).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.col(name).alias("k"), "n"))).alias("h"))
+        return counted.select("qid", F.array_join(F.transform("h", lambda x: F.concat_ws(":", x["k"], x["n"].cast("string"))), ",").alias(out))
+
+    found = walk.seeds.groupBy("qid").agg(F.count("*").alias("seeds"))
+    found = found.join(walk.nodes.groupBy("qid").agg(F.count("*").alias("nodes"), F.max("dist").alias("max_dist")), "qid", "left")
+    found = found.join(walk.edges.groupBy("qid").agg(F.count("*").alias("edges")), "qid", "left")
+    stats = [F.count("*").alias("ranked"), F.min("score").alias("score_min"), F.max("score").alias("score_max"), F.avg("score").alias("score_mean")]
+    found = found.join(walk.ranked.groupBy("qid").agg(*stats), "qid", "left")
+    found = found.join(histogram(walk.ranked, "node_type", "types"), "qid", "left").join(histogram(walk.edges, "rel", "relations"), "qid", "left")
+    return found.fillna(0, ["nodes", "edges", "ranked", "max_dist"]).fillna("", ["types", "relations"])
+
+
 def graph_context(traversed: DataFrame, visited: DataFrame) -> DataFrame:
     """Edges whose ends are both visited."""
     a = visited.select("qid", F.col("node").alias("src"))

@@ -56,6 +56,12 @@ def assemble(ranked: DataFrame, nodes: DataFrame, config: Subgraph = Subgraph())
     return out.select("qid", window_id.alias("window_id"), "section_id", "rank", "score", "anchors", members.alias("members"), (F.col("lo") == 0).alias("from_start"), F.split("_first", "\n")[0].alias("title"), F.array_join(F.transform("_m", lambda x: x["text"]), "\n").alias("text"))
 
 
+def items(windows: DataFrame, sections: DataFrame) -> DataFrame:
+    """Windows as output items: (qid, rank, chunk_id, section_id, parent_section_id, title, score, anchor_node_ids, window_node_ids, from_start, text)."""
+    above = sections.select("section_id", F.col("parent_id").alias("parent_section_id"))
+    return windows.join(above, "section_id", "left").select("qid", "rank", F.col("window_id").alias("chunk_id"), "section_id", "parent_section_id", "title", "score", F.col("anchors").alias("anchor_node_ids"), F.col("members").alias("window_node_ids"), "from_start", "text")
+
+
 def flatten(windows: DataFrame, order: str = "doc") -> DataFrame:
     """(qid, node_id, rank): ids of windows in order, each once. ``anchors_first``: every window's anchors before all members."""
     if order == "anchors_first":

@@ -164,18 +164,22 @@ sc AS (SELECT qid, section_id, parent_id, child_pos, level, has_text, {cosine('w
 roots AS (SELECT qid, section_id, subtree, row_number() OVER (PARTITION BY qid ORDER BY round(subtree, 6) DESC, section_id) AS rank FROM sc WHERE level = 1 QUALIFY rank <= 3)"""
 
 
-def drill(mode: str) -> str:
+def drill_ctes(mode: str, scores: str = SCORES) -> str:
     scaled = lambda x: f"(CASE WHEN qmax > qmin THEN ({x} - qmin) / (qmax - qmin) ELSE {x} END)" if mode == "percentile" else x
     taken = "pos <= greatest(1, ceil(n * 0.5))" if mode == "rank" else f"pos <= 2 AND {scaled('best')} >= 0.45"
-    return f"""WITH RECURSIVE {SCORES},
+    return f"""WITH RECURSIVE {scores},
 s AS (SELECT qid, section_id, parent_id, child_pos, level, has_text, round(local, 6) AS local, round(subtree, 6) AS subtree FROM sc),
 lim AS (SELECT qid, min(v) AS qmin, max(v) AS qmax FROM (SELECT qid, local AS v FROM s WHERE local > -1 UNION ALL SELECT qid, subtree FROM s WHERE subtree > -1) GROUP BY 1),
 ch AS (SELECT *, row_number() OVER (PARTITION BY qid, parent_id ORDER BY subtree DESC, child_pos) AS pos, count(*) OVER (PARTITION BY qid, parent_id) AS n, max(subtree) OVER (PARTITION BY qid, parent_id) AS best FROM s WHERE parent_id IS NOT NULL),
 bc AS (SELECT qid, parent_id AS section_id, max(subtree) AS best_child FROM ch GROUP BY 1, 2),
 fl AS (SELECT s.*, has_text AND {scaled('local')} >= 0.35 AND local >= coalesce(best_child, -1.0) - 0.05 AS is_seed FROM s LEFT JOIN bc USING (qid, section_id) JOIN lim USING (qid)),
 op AS (SELECT ch.qid, ch.parent_id, ch.section_id FROM ch JOIN lim USING (qid) JOIN fl ON fl.qid = ch.qid AND fl.section_id = ch.parent_id AND NOT fl.is_seed WHERE {taken}),
-re AS (SELECT qid, section_id FROM roots UNION SELECT op.qid, op.section_id FROM op JOIN re ON op.qid = re.qid AND op.parent_id = re.section_id)
-SELECT qid, section_id, round(local, 4) AS local FROM fl WHERE is_seed AND (qid, section_id) IN (SELECT qid, section_id FROM re)"""
+re AS (SELECT qid, section_id FROM roots UNION SELECT op.qid, op.section_id FROM op JOIN re ON op.qid = re.qid AND op.parent_id = re.section_id),
+seeds AS (SELECT qid, section_id, local FROM fl WHERE is_seed AND (qid, section_id) IN (SELECT qid, section_id FROM re))"""
+
+
+def drill(mode: str) -> str:
+    return drill_ctes(mode) + "\nSELECT qid, section_id, round(local, 4) AS local FROM seeds"
 
 
 SEEDS = f"{EDGES}, {P}, {Q}, {bm25(k=3, name='seed')}, sd AS (SELECT qid, 'D' || id AS node FROM seed)"
@@ -222,6 +226,60 @@ ma AS (SELECT qid, count(DISTINCT u) FILTER (hit AND rank <= 5) AS h5, count(DIS
 met AS (SELECT qid, coalesce(h5 / n, 0) AS recall_5, coalesce(h10 / n, 0) AS recall_10, coalesce(1 / f, 0) AS mrr, coalesce(dcg / {ideal('least(n, 10)')}, 0) AS ndcg, coalesce((k - h10) / k, 0) AS noise, coalesce(c, 0) AS retrieved FROM mn LEFT JOIN ma USING (qid))"""
 
 
+def walked(sql: str, k: int) -> str:
+    """Scores of what is reached from ``sd``, without the vectors that the seeds' part has already."""
+    return node_scores(k=k, reach=sql).replace(f" qv AS (SELECT qid, {vector('query')} AS w FROM q),\nns AS", "\nns AS")
+
+
+WALK = walked(drill_ctes("absolute") + EDGES.removeprefix(SECTIONS) + ",\nsd AS (SELECT qid, section_id AS node FROM seeds), " + bfs().removeprefix(SEEDS + ", "), 20)
+_DOCS = f"{P}, {bm25(k=50, name='base')}, docs AS (SELECT qid, id, rank FROM base WHERE rank <= 5)"
+_SCOPED = SCORES.replace(f"{Q},", f"{Q}, {_DOCS},", 1).replace("sv AS (SELECT section_id,", "sv AS (SELECT doc_id, section_id,").replace("FROM sv, qv)", "FROM sv JOIN docs ON docs.id = sv.doc_id JOIN qv USING (qid))")
+_OWN = "AND (qid, regexp_extract(dst, '^D([0-9]+)', 1)::BIGINT) IN (SELECT qid, id FROM docs)"
+_INSIDE = f"""sd AS (SELECT qid, section_id AS node FROM seeds UNION ALL SELECT qid, section_id FROM roots WHERE qid NOT IN (SELECT qid FROM seeds)
+  UNION ALL SELECT qid, 'D' || id FROM docs WHERE qid NOT IN (SELECT qid FROM seeds) AND qid NOT IN (SELECT qid FROM roots)),
+""" + bfs().removeprefix(SEEDS + ", ").replace("ON src = node)", f"ON src = node WHERE true {_OWN})")
+HYBRID = walked(drill_ctes("absolute", _SCOPED) + EDGES.removeprefix(SECTIONS) + ",\n" + _INSIDE, 10)
+WINDOW_TAIL = WINDOWS.removeprefix(node_scores())
+
+
+def capped(limit: int = 25) -> str:
+    out = f"{SEEDS.replace('AS node FROM seed', 'AS node, rank FROM seed')}, n0 AS (SELECT qid, node, 0 AS dist, rank::BIGINT AS rank FROM sd)"
+    for k in (1, 2, 3):
+        out += f""",
+c{k} AS (SELECT f.qid, dst AS node, row_number() OVER (PARTITION BY f.qid ORDER BY f.rank, edge_pos, dst) AS pl FROM n{k - 1} f JOIN edges ON f.node = src WHERE f.dist = {k - 1}),
+f{k} AS (SELECT qid, node, min(pl) AS pl FROM c{k} WHERE (qid, node) NOT IN (SELECT qid, node FROM n{k - 1}) GROUP BY 1, 2),
+h{k} AS (SELECT qid, count(*) AS have, max(rank) AS last FROM n{k - 1} GROUP BY 1),
+n{k} AS (SELECT * FROM n{k - 1} UNION ALL SELECT qid, node, {k}, last + k FROM (SELECT qid, node, last, have, row_number() OVER (PARTITION BY qid ORDER BY pl) AS k FROM f{k} JOIN h{k} USING (qid)) WHERE k <= {limit} - have)"""
+    return out
+
+
+CONTEXTS = f"""{GOLD_LINES}, cx AS (SELECT qid, list_sort(list(DISTINCT gl.id)) AS gold_ids, min('D' || nodes.doc_id) AS doc_id FROM gl JOIN nodes ON node_id = gl.id GROUP BY 1),
+np AS (SELECT node_id AS id, text FROM nodes), {bm25('np', 10, 'lh')}, ev AS (SELECT qid, e, {evidence('e')} AS n FROM (SELECT qid, unnest(string_split(query, chr(10))) AS e FROM q) JOIN cx USING (qid)),
+it AS (SELECT qid, lh.id, text, rank, {evidence('text')} AS t FROM lh JOIN np USING (id) JOIN cx USING (qid))"""
+_NODE_SECTION = r"regexp_replace({}, '^(.*)\.(\d+)\.(\d+)$', '\1.\2')"
+_NODE_DOC = r"regexp_replace({}, '^(.*)\.(\d+)\.(\d+)$', '\1')"
+_GU = {
+    "strict_chunk": ("SELECT DISTINCT qid, unnest(gold_ids) AS u FROM cx", "SELECT it.qid, it.id, rank, it.id AS u FROM it JOIN cx USING (qid) WHERE list_contains(gold_ids, it.id)"),
+    "same_section": (f"SELECT DISTINCT qid, {_NODE_SECTION.format('g')} AS u FROM (SELECT qid, unnest(gold_ids) AS g FROM cx)", f"SELECT it.qid, it.id, rank, {_NODE_SECTION.format('it.id')} AS u FROM it JOIN gu ON gu.qid = it.qid AND gu.u = {_NODE_SECTION.format('it.id')}"),
+    "contains_evidence": ("SELECT DISTINCT qid, n AS u FROM ev WHERE n <> ''", "SELECT it.qid, it.id, rank, u FROM it JOIN gu USING (qid) WHERE contains(t, u) OR contains(u, t)"),
+    "text_overlap_30": ("SELECT DISTINCT qid, n AS u FROM ev WHERE n <> ''", f"SELECT it.qid, it.id, rank, n AS u FROM it JOIN ev USING (qid) WHERE n <> '' AND len({words('e')}) > 0 AND len(list_intersect({words('text')}, {words('e')}))::DOUBLE / len({words('e')}) >= 0.3"),
+    "same_doc": ("SELECT qid, doc_id AS u FROM cx", f"SELECT it.qid, it.id, rank, doc_id AS u FROM it JOIN cx USING (qid) WHERE {_NODE_DOC.format('it.id')} = doc_id"),
+}
+_GU["source_id"] = _GU["strict_chunk"]
+
+
+def criterion(name: str, tag: str) -> str:
+    """CTEs that end in met{tag}: (qid, recall_5, recall_10, mrr, ndcg, noise, retrieved)."""
+    units, matches = _GU[name]
+    t = tag
+    return f"""gu{t} AS ({units}), mu{t} AS (SELECT DISTINCT qid, u, rank FROM ({matches.replace('gu ', f'gu{t} ').replace('gu.', f'gu{t}.')})), sz{t} AS (SELECT qid, count(*) AS n FROM gu{t} GROUP BY 1),
+fi{t} AS (SELECT qid, u, min(rank) AS rank FROM mu{t} GROUP BY 1, 2), ga{t} AS (SELECT qid, rank, count(*) AS new FROM fi{t} GROUP BY 1, 2),
+pe{t} AS (SELECT qid, sum(new) FILTER (rank <= 5) AS h5, sum(new) FILTER (rank <= 10) AS h10, min(rank) FILTER (rank <= 10) AS f, sum(1 / log2(rank + 1)) FILTER (rank <= 10) AS dcg, count(*) FILTER (rank <= 10) AS g FROM ga{t} GROUP BY 1),
+rt{t} AS (SELECT qid, count(*) AS r FROM it WHERE rank <= 10 GROUP BY 1),
+met{t} AS (SELECT cx.qid, CASE WHEN n IS NULL THEN 0 ELSE coalesce(h5 / n, 0) END AS recall_5, CASE WHEN n IS NULL THEN 0 ELSE coalesce(h10 / n, 0) END AS recall_10, coalesce(1 / f, 0) AS mrr, CASE WHEN n IS NULL THEN 0 ELSE coalesce(dcg / {ideal('least(n, 10)')}, 0) END AS ndcg,
+  CASE WHEN n IS NULL THEN 0 ELSE coalesce((r - coalesce(g, 0)) / r, 0) END AS noise, CASE WHEN n IS NULL THEN 0 ELSE coalesce(r, 0) END AS retrieved FROM cx LEFT JOIN sz{t} USING (qid) LEFT JOIN pe{t} USING (qid) LEFT JOIN rt{t} USING (qid))"""
+
+
 _MET = "qid, round(recall_5, 4) AS recall_5, round(recall_10, 4) AS recall_10, round(mrr, 4) AS mrr, round(ndcg, 4) AS ndcg, round(noise, 4) AS noise"
 RUNS = f"""{P}, {Q}, {bm25(name='base')}, {BM25H}, {DENSE_TEXT},
 runs AS (SELECT 'bm25' AS method, qid, id, rank FROM base UNION ALL SELECT 'bm25_heuristic', qid, id, r FROM chosen UNION ALL SELECT 'dense', qid, id, rank FROM dh WHERE rank <= 10)"""
@@ -247,6 +305,13 @@ ou0 AS (SELECT comparison_id, qid, axis, count(*) FILTER (vote = 'first') AS fir
 ou AS (SELECT *, CASE WHEN first >= 4 THEN 'first' WHEN second >= 4 THEN 'second' ELSE 'tie' END AS outcome FROM ou0),
 mn AS (SELECT pair_id, axis, ['A', 'B', 'equal'][{h('pair_id || axis')} % 3 + 1] AS manual FROM pr, ax)"""
 CHOICES = f"{Q}, jd AS (SELECT unnest(['j1', 'j2', 'j3']) AS judge), ch AS (SELECT qid, judge, ['bm25', 'bm25_heuristic', 'dense', ''][{h('qid || judge')} % 4 + 1] AS method, {h('qid || judge')} % 6 AS score FROM q, jd), cc AS (SELECT qid, CASE WHEN method = '' THEN '__TIE_OR_EMPTY__' ELSE method END AS method, count(*) AS v FROM ch GROUP BY ALL)"
+
+
+METRICS = ["relevance", "usefulness_for_logic", "coherence", "noise", "overall"]
+FIVE = f"""{Q}, fm AS (SELECT qid, unnest(['bm25', 'bm25_heuristic', 'chunks', 'dense', 'windows']) AS method FROM q),
+fl AS (SELECT qid, method, md5(qid || method) AS context, chr((64 + row_number() OVER (PARTITION BY qid ORDER BY sha256('42|' || qid || '|' || method)))::INT) AS letter FROM fm)"""
+FIVE_RUNS = f"""{FIVE}, rl AS (SELECT qid, judge, letter, method, {h('qid || judge')} % 11 <> 0 AS ok, ['A', 'B', 'C', 'D', 'E', ''][{h('qid || judge')} % 6 + 1] AS winner, {h("qid || judge || 'fail' || letter")} % 3 = 0 AS fail,
+  """ + ", ".join(f"{h(f'qid || judge || {chr(39)}{m}{chr(39)} || letter')} % 6 AS {m}" for m in METRICS) + " FROM fl, (SELECT unnest(['j1', 'j2', 'j3']) AS judge))"
 _SECTION = r"regexp_replace({}, '^(.*)\.(\d+)\.(\d+)$', '\1.\2')"
 _WR = "WITH " + WINDOWS
 
@@ -313,11 +378,57 @@ round(coalesce(1 / min(rank) FILTER (hit), 0), 4) AS mrr, round(coalesce(sum(1 /
     "fiveway_summary": f"WITH {CHOICES} SELECT method, 'overall' AS metric, count(*) AS n, round(avg(score), 4) AS mean, round(coalesce(stddev_samp(score), 0), 4) AS std FROM ch GROUP BY 1",
     "fiveway_consensus": f"WITH {CHOICES}, r AS (SELECT *, sum(v) OVER (PARTITION BY qid) AS n, coalesce(lead(v) OVER (PARTITION BY qid ORDER BY v DESC, method), 0) AS next, row_number() OVER (PARTITION BY qid ORDER BY v DESC, method) AS r FROM cc) SELECT qid, CASE WHEN v * 2 > n AND v > next THEN method ELSE '__TIE_OR_EMPTY__' END AS winner, v AS votes, n::BIGINT AS n FROM r WHERE r = 1",
     "fiveway_distribution": f"WITH {CHOICES} SELECT qid, string_agg(method || ':' || v || ';', '' ORDER BY v DESC, method) AS breakdown FROM cc GROUP BY 1",
-    "pairwise_with_skips": f"WITH {CHOICES}, v AS (SELECT qid, method, count(*) AS v FROM ch WHERE method <> '' AND qid % 5 <> 0 GROUP BY 1, 2), t AS (SELECT *, v / sum(v) OVER (PARTITION BY qid) AS share, row_number() OVER (PARTITION BY qid ORDER BY v DESC, method) AS r FROM v) SELECT q.qid, coalesce(method, '__SKIPPED_IDENTICAL__') AS decision, round(coalesce(share, 1), 4) AS share FROM q LEFT JOIN t ON t.qid = q.qid AND r = 1",
+    "pairwise_with_skips": f"WITH {RUNS}, {CHOICES.removeprefix(Q + ', ')}, cq AS (SELECT method, qid, string_agg(id::VARCHAR, ',' ORDER BY rank) AS c FROM runs GROUP BY 1, 2), same AS (SELECT a.qid FROM cq a JOIN cq b ON a.qid = b.qid AND a.c = b.c WHERE a.method = 'bm25' AND b.method = 'bm25_heuristic'), v AS (SELECT qid, method, count(*) AS v FROM ch WHERE method <> '' AND qid NOT IN (SELECT qid FROM same) GROUP BY 1, 2), t AS (SELECT *, v / sum(v) OVER (PARTITION BY qid) AS share, row_number() OVER (PARTITION BY qid ORDER BY v DESC, method) AS r FROM v) SELECT q.qid, coalesce(method, '__SKIPPED_IDENTICAL__') AS decision, round(coalesce(share, 1), 4) AS share FROM q LEFT JOIN t ON t.qid = q.qid AND r = 1",
     "integrity": f"WITH {CHOICES}, m AS (SELECT DISTINCT method, qid FROM ch WHERE method <> ''), t AS (SELECT count(DISTINCT qid) AS t FROM m) SELECT method, count(*) AS qids, t - count(*) AS missing, count(*) = t AND t = 40 AS complete FROM m, t GROUP BY method, t",
     "coverage_filters": "WITH m AS (SELECT c_nationkey AS pmid, arg_min(c_mktsegment, c_custkey) AS pmcid FROM customer GROUP BY 1), r AS (SELECT c_mktsegment AS qid, count(DISTINCT c_nationkey) AS n_pmids, count(DISTINCT pmcid) AS n_pmcs FROM customer JOIN m ON c_nationkey = pmid GROUP BY 1) SELECT qid, n_pmids, n_pmcs, round(n_pmcs / n_pmids, 4) AS ratio, n_pmcs >= 1 AS lenient, n_pmcs >= 2 OR n_pmcs / n_pmids >= 0.5 AS strict FROM r",
     "latest_decision": "SELECT event_type AS judge, user_id AS pair_id, max(event_id) AS seq, round(arg_max(value, event_id), 4) AS value FROM events GROUP BY 1, 2",
     "status_counters": "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "region_tree_paths": "WITH s AS (SELECT o_custkey, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1) SELECT c_custkey, r_name || ' > ' || n_name || ' > ' || c_name AS path, coalesce(orders, 0) AS orders, coalesce(total, 0) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN s ON o_custkey = c_custkey",
     "conversation_turns": f"SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord, {n_tokens('text')}::INT AS n_tokens FROM conversations",
+    "walk_query": f"{WALK} SELECT qid, node_id, section_id, node_type, round(score, 4) AS score, rank FROM top",
+    "walk_sections": f"{WALK}, o AS (SELECT qid, section_id, max(round(score, 6)) AS score, string_agg(node_id, ',' ORDER BY rank) AS nodes FROM top GROUP BY 1, 2) SELECT qid, section_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, section_id) AS rank, round(score, 4) AS score, nodes, string_split(local_text, chr(10))[1] AS title, md5(local_text) AS digest FROM o JOIN loc USING (section_id)",
+    "walk_windows": f"{WALK}{WINDOW_TAIL} SELECT qid, wr.section_id || '::' || members[1] || '..' || members[-1] AS chunk_id, wr.section_id, parent_id AS parent_section_id, rank, round(score, 4) AS score, array_to_string(anchors, ',') AS anchors, array_to_string(members, ',') AS members, lo = 0 AS from_start, md5(text) AS digest FROM wr JOIN sections USING (section_id)",
+    "walk_graph": f"{WALK} SELECT qid, src, dst, rel, dist + 1 AS dist FROM bfs JOIN e ON node = src WHERE dist < 3",
+    "walk_debug": f"""{WALK}, eg AS (SELECT qid, rel FROM bfs JOIN e ON node = src WHERE dist < 3), a AS (SELECT qid, count(*) AS seeds FROM sd GROUP BY 1), b AS (SELECT qid, count(*) AS nodes, max(dist) AS max_dist FROM bfs GROUP BY 1), c AS (SELECT qid, count(*) AS edges FROM eg GROUP BY 1),
+t AS (SELECT qid, count(*) AS ranked, min(score) AS score_min, max(score) AS score_max, avg(score) AS score_mean FROM top GROUP BY 1), y AS (SELECT qid, string_agg(node_type || ':' || n, ',' ORDER BY node_type) AS types FROM (SELECT qid, node_type, count(*) AS n FROM top GROUP BY 1, 2) GROUP BY 1), z AS (SELECT qid, string_agg(rel || ':' || n, ',' ORDER BY rel) AS relations FROM (SELECT qid, rel, count(*) AS n FROM eg GROUP BY 1, 2) GROUP BY 1)
+SELECT qid, seeds, nodes, max_dist, coalesce(edges, 0) AS edges, coalesce(ranked, 0) AS ranked, round(score_min, 4) AS score_min, round(score_max, 4) AS score_max, round(score_mean, 4) AS score_mean, coalesce(types, '') AS types, coalesce(relations, '') AS relations FROM a LEFT JOIN b USING (qid) LEFT JOIN c USING (qid) LEFT JOIN t USING (qid) LEFT JOIN y USING (qid) LEFT JOIN z USING (qid)""",
+    "document_map": f"WITH {SECTIONS} SELECT section_id AS id, doc_id::VARCHAR AS doc_id FROM sections UNION ALL SELECT node_id, doc_id::VARCHAR FROM nodes",
+    "restricted_edges": f"WITH {EDGES}, {Q}, {_DOCS}, al AS (SELECT qid, section_id AS node FROM docs JOIN sections ON doc_id = id UNION ALL SELECT qid, node_id FROM docs JOIN nodes ON doc_id = id) SELECT a.qid, src, dst, rel, edge_pos FROM edges JOIN al a ON a.node = src JOIN al b ON b.node = dst AND a.qid = b.qid",
+    "hybrid_walk": f"{HYBRID} SELECT qid, node_id, section_id, node_type, round(score, 4) AS score, rank FROM top",
+    "hybrid_windows": f"{HYBRID}{WINDOW_TAIL} SELECT qid, section_id || '::' || members[1] || '..' || members[-1] AS window_id, rank, round(score, 4) AS score, array_to_string(members, ',') AS members FROM wr",
+    "bfs_capped": f"WITH {capped()} SELECT * FROM n3",
+    "diag_criteria": f"WITH {NODES}, {P}, {Q}, {GOLD}, {CONTEXTS}, " + ", ".join(criterion(n, str(i)) for i, n in enumerate(_GU)) + " " + " UNION ALL ".join(f"SELECT '{n}' AS criterion, count(*) AS queries, round(avg(recall_5), 4) AS recall_5, round(avg(recall_10), 4) AS recall_10, round(avg(mrr), 4) AS mrr, round(avg(ndcg), 4) AS ndcg, round(avg(noise), 4) AS noise, round(avg(retrieved), 4) AS retrieved FROM met{i}" for i, n in enumerate(_GU)),
+    "diag_false_negatives": f"WITH {NODES}, {P}, {Q}, {GOLD}, {CONTEXTS}, {criterion('strict_chunk', 'a')}, {criterion('same_section', 'b')}, {criterion('text_overlap_30', 'c')} SELECT qid, round(meta.recall_10, 4) AS strict, round(metb.recall_10, 4) AS same_section, round(metc.recall_10, 4) AS overlap FROM meta JOIN metb USING (qid) JOIN metc USING (qid) WHERE meta.recall_10 = 0 AND (metb.recall_10 > 0 OR metc.recall_10 > 0)",
+    "restricted_queries": f"WITH {P}, {Q}, {GOLD} SELECT qid, md5(query) AS digest FROM q WHERE qid IN (SELECT qid FROM gold)",
+    "missing_predictions": f"WITH {P}, {Q}, {BM25H}, g AS (SELECT qid, string_agg(id::VARCHAR, ',' ORDER BY r) AS ids FROM chosen GROUP BY 1) SELECT qid, coalesce(ids, '') AS ids, ids IS NULL AS missing FROM q LEFT JOIN g USING (qid)",
+    "gold_lists": f"WITH {NODES}, {P}, {Q}, {GOLD}, {GOLD_LINES} SELECT qid, array_to_string(list_sort(list(DISTINCT gl.id)), ',') AS ids, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS docs FROM gl JOIN nodes ON node_id = gl.id GROUP BY 1",
+    "gold_unmapped": f"""WITH {NODES}, c AS (SELECT doc_id, pos, node_id, text, {evidence('text')} AS t FROM nodes WHERE doc_id % 20 = 0), e AS (SELECT doc_id, pos, t AS n FROM c WHERE NOT starts_with(upper(text), '{'FLOAT SELECTED:'}') AND t <> ''),
+m AS (SELECT e.doc_id, e.pos, c.node_id, c.pos AS cp FROM e JOIN c ON e.doc_id = c.doc_id AND e.n = c.t), f AS (SELECT doc_id, node_id, min((pos, cp)) AS k FROM m GROUP BY 1, 2), g AS (SELECT doc_id, string_agg(node_id, ',' ORDER BY k) AS ids FROM f GROUP BY 1),
+u AS (SELECT doc_id, count(*) AS u FROM c WHERE starts_with(upper(text), '{'FLOAT SELECTED:'}') GROUP BY 1) SELECT DISTINCT c.doc_id AS qid, coalesce(ids, '') AS ids, coalesce(u, 0)::INT AS unmapped FROM c LEFT JOIN g USING (doc_id) LEFT JOIN u USING (doc_id)""",
+    "type_changes": f"WITH {NODES} SELECT node_type AS type, count(*) AS before, count(*) FILTER (NOT {noise('text')}) AS after, count(*) FILTER ({noise('text')}) AS removed FROM nodes GROUP BY 1",
+    "truncation_share": f"WITH {SUBTREE}, s AS (SELECT section_id, subtree_text FROM sub JOIN sections USING (section_id) WHERE level > 0 ORDER BY md5(section_id), section_id LIMIT 2500), c AS (SELECT count(*) AS sampled, count(*) FILTER ({n_tokens('subtree_text')} > 100) AS truncated FROM s) SELECT sampled, truncated, round(CASE WHEN sampled > 0 THEN truncated / sampled ELSE 0 END, 4) AS share FROM c",
+    "chunk_windows_1200": f"""WITH t AS (SELECT doc_id, {strip("regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')")} AS t FROM documents), k AS (SELECT doc_id, t, greatest(0, ceil((length(t) - 1200) / 1000))::INT AS last, unnest(range(0, greatest(0, ceil((length(t) - 1200) / 1000))::INT + 1)) AS k FROM t),
+w AS (SELECT doc_id, k, last, substr(t, k * 1000 + 1, 1200) AS w FROM k), x AS (SELECT *, length(regexp_replace(w, ' [^ ]*$', '')) AS c FROM w),
+p AS (SELECT doc_id, k, trim(CASE WHEN k < last AND c < length(w) AND c > 400 THEN left(w, c) ELSE w END) AS text FROM x) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS pos, text FROM p WHERE text <> ''""",
+    "id_names": f"WITH {NODES} SELECT node_id, 'D' || doc_id AS chunk_doc, regexp_replace(section_id, '\\.[0-9]+$', '') AS section_doc, pos::BIGINT AS number, node_id AS second FROM nodes",
+    "snippet_match": f"""WITH {NODES}, {P}, {Q}, {bm25()}, sl AS (SELECT qid, unnest(range(len(l)))::INT AS snippet_id, unnest(l) AS snippet FROM (SELECT qid, string_split(query, chr(10)) AS l FROM q)),
+sn AS (SELECT s.qid, snippet_id, snippet, h.id AS doc, {snippet('snippet')} AS n FROM sl s LEFT JOIN hits h ON h.qid = s.qid AND h.rank = 1 WHERE {strip('snippet')} <> ''),
+sp AS (SELECT qid, snippet_id, n, node_id AS id, {snippet('nodes.text')} AS t, nodes.doc_id IS NULL AS none, CASE WHEN len({words('snippet')}) = 0 THEN 0 ELSE len(list_intersect({words('nodes.text')}, {words('snippet')}))::DOUBLE / len({words('snippet')}) END AS o FROM sn LEFT JOIN nodes ON nodes.doc_id = sn.doc),
+sk AS (SELECT *, CASE WHEN none THEN 'no_document' WHEN n <> '' AND t <> '' AND (contains(t, n) OR contains(n, t)) THEN 'substring' WHEN o >= 0.6 THEN 'token_overlap' ELSE 'no_chunk_match' END AS kind FROM sp),
+sc AS (SELECT *, CASE kind WHEN 'substring' THEN least(length(n), length(t)) / greatest(length(n), length(t)) WHEN 'token_overlap' THEN o END AS score FROM sk)
+SELECT qid, snippet_id, CASE WHEN score IS NOT NULL THEN id END AS id, round(score, 4) AS score, kind FROM sc QUALIFY row_number() OVER (PARTITION BY qid, snippet_id ORDER BY CASE kind WHEN 'substring' THEN 0 WHEN 'token_overlap' THEN 1 ELSE 2 END, score DESC NULLS LAST, length(t), id) = 1""",
+    "judge_payloads": f"WITH {FIVE} SELECT qid, string_agg(letter || '=' || method, ',' ORDER BY letter) AS mapping, string_agg(letter || '=' || context, ',' ORDER BY letter) AS contexts FROM fl GROUP BY 1",
+    "judge_prompts": f"WITH {FIVE}, b AS (SELECT qid, string_agg('CANDIDATE ' || letter || ':' || chr(10) || context, chr(10) || chr(10) ORDER BY letter) AS b FROM fl GROUP BY 1) SELECT qid, 'multiway' AS mode, CASE WHEN contains(query, 'coherence') THEN 'fiveway_reasoning' ELSE 'fiveway' END AS schema, md5('## SYSTEM' || chr(10) || chr(10) || 'Compare the candidates.' || chr(10) || chr(10) || '## USER' || chr(10) || chr(10) || 'QUERY:' || chr(10) || {strip('query')} || chr(10) || chr(10) || b) AS digest FROM b JOIN q USING (qid)",
+    "report_long": f"WITH {FIVE_RUNS} SELECT qid, judge AS model, letter, method, ok AS parse_ok, ok AND fail AS is_failure, " + ", ".join(f"CASE WHEN ok THEN {m} END AS {m}" for m in METRICS) + ", CASE WHEN ok THEN 'because ' || letter || ' ' || judge ELSE '' END AS rationale FROM rl",
+    "report_wide": f"WITH {FIVE_RUNS} SELECT qid, judge AS model, 'fiveway' AS mode, ok AS parse_ok, CASE WHEN NOT ok THEN 'status=ERROR' END AS parse_error, CASE WHEN ok THEN winner ELSE '' END AS winner_letter, coalesce(max(method) FILTER (ok AND letter = winner), '') AS winner_method, coalesce(string_agg(letter, ',' ORDER BY letter) FILTER (ok AND fail), '') AS failure_letters, coalesce(string_agg(method, ',' ORDER BY letter) FILTER (ok), '') AS ranking_methods, " + ", ".join(f"max({m}) FILTER (ok AND letter = '{k}') AS {m}_{k}" for m in ("overall", "coherence") for k in "ABCDE") + " FROM rl GROUP BY qid, judge, ok, winner",
+    "report_consensus": f"WITH {FIVE_RUNS} SELECT qid, letter, method, count(*) AS n_judges, " + ", ".join(f"round(avg({m}), 4) AS {m}" for m in METRICS) + ", count(*) FILTER (fail) * 2 > count(*) AS is_failure, 'because ' || letter || ' ' || arg_min(judge, (-overall, judge)) AS rationale FROM rl WHERE ok GROUP BY 1, 2, 3",
+    "report_without_ties": f"WITH {FIVE_RUNS}, r AS (SELECT DISTINCT qid, judge, ok, winner FROM rl) SELECT judge AS model, count(*) FILTER (NOT (ok AND winner = '')) AS runs, count(*) FILTER (ok AND winner <> '') AS ok FROM r GROUP BY 1",
+    "report_votes": f"WITH {CHOICES}, r AS (SELECT *, sum(v) OVER (PARTITION BY qid) AS n, coalesce(lead(v) OVER (PARTITION BY qid ORDER BY v DESC, method), 0) AS next, row_number() OVER (PARTITION BY qid ORDER BY v DESC, method) AS r FROM cc), b AS (SELECT qid, string_agg(method || ':' || v, ';' ORDER BY v DESC, method) AS breakdown FROM cc GROUP BY 1) SELECT qid, n::BIGINT AS n_runs, CASE WHEN v * 2 > n AND v > next AND method <> '__TIE_OR_EMPTY__' THEN method ELSE '' END AS winner, v AS votes, round(v / n, 4) AS share, breakdown, v * 2 > n AND v > next AND method <> '__TIE_OR_EMPTY__' AS has_majority FROM r JOIN b USING (qid) WHERE r = 1",
+    "answers_checked": "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN chr(39) || 'decision' || chr(39) || ' must be empty, A or B' WHEN event_id % 3 = 0 THEN chr(39) || 'reason' || chr(39) || ' must be a text' END AS pairwise, 'Missing keys:' AS fiveway, CASE WHEN event_id % 4 <> 3 AND event_id % 3 <> 0 THEN ['A', 'B', ''][event_id % 4 + 1] END AS salvaged FROM events",
+    "counterparts": f"WITH {SIMPLE} SELECT a.pair_id, b.pair_id AS other_id FROM pr a JOIN pr b ON a.comparison_id = b.comparison_id AND a.qid = b.qid AND a.perm <> b.perm",
+    "worth_judging": f"WITH {RUNS}, {SIMPLE.removeprefix(Q + ', ')}, c AS (SELECT method, qid, string_agg(id::VARCHAR, ',' ORDER BY rank) AS c FROM runs GROUP BY 1, 2) SELECT pair_id FROM pr JOIN c a ON a.method = first AND a.qid = pr.qid JOIN c b ON b.method = second AND b.qid = pr.qid WHERE a.c <> b.c",
+    "pairs_complete": f"WITH {SIMPLE} SELECT comparison_id, count(*) AS pairs, 0::BIGINT AS missing_orders, (SELECT count(*) FROM pr) AS total, true AS complete FROM pr GROUP BY 1",
+    "majority_expert": f"WITH {DECISIONS}, x AS (SELECT comparison_id, qid, axis, CASE manual WHEN 'A' THEN 'first' WHEN 'B' THEN 'second' ELSE 'equal' END AS e FROM mn JOIN pr USING (pair_id) WHERE perm = 'AB'), y AS (SELECT axis, e, CASE outcome WHEN 'tie' THEN 'equal' ELSE outcome END AS o FROM ou JOIN x USING (comparison_id, qid, axis) WHERE n >= 4) SELECT axis, count(*) AS n, count(*) FILTER (o = e) AS agree, round(count(*) FILTER (o = e) / count(*), 4) AS rate FROM y GROUP BY 1",
+    "in_every_method": f"WITH {CHOICES}, m AS (SELECT DISTINCT method, qid FROM ch WHERE method <> '') SELECT qid FROM m GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT method) FROM m)",
+    "turn_counts": "SELECT conv_id::VARCHAR AS qid, arg_min(role, turn) AS type, array_to_string(list_sort(list(DISTINCT turn::VARCHAR)), ',') AS ids, count(DISTINCT turn)::INT AS n FROM conversations GROUP BY 1",
 }

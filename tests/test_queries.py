@@ -11,7 +11,6 @@ from ridgeline.plans.queries import QUERIES
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = [n for n in ORACLE_SQL if n not in ("pairs", "run_overlap", "token_stats", "pack_summary", "drill_seeds_percentile", "windows_flat_doc")]
 
 
 def rows(columns, found):
@@ -20,7 +19,7 @@ def rows(columns, found):
     return [columns[i] for i in order], sorted((tuple(value(r[i]) for i in order) for r in found), key=str)
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:

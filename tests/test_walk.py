@@ -148,13 +148,12 @@ def test_first_object():
     assert P.first_object("none {broken") is None
 
 
-def test_windows_of_long_text():
-    pieces = P.windows_of("word " * 1000)
-    assert all(len(p) <= 1200 for p in pieces) and P.windows_of("") == [] and P.windows_of("short") == ["short"]
+def test_windows_of_long_text(spark):
+    from pyspark.sql import functions as F
 
+    from ridgeline.functions import text as T
 
-def test_article():
-    found = P.article("<article><front><article-title>T <i>x</i></article-title><abstract><p>A b</p></abstract></front><body><sec><title>One</title><p>p1</p><sec><title>Two</title><p>p2</p></sec></sec></body></article>")
-    assert found["status"] == "valid" and found["title"] == "T x"
-    assert [(p[0], p[1], p[3]) for p in found["paragraphs"]] == [("abstract", [], "A b"), ("body", ["One"], "p1"), ("body", ["One", "Two"], "p2")]
-    assert P.article("")["status"] == "empty" and P.article("<a>")["status"] == "invalid_xml" and P.article("<a/>")["status"] == "missing_article_tag"
+    texts = ["word " * 1000, "", "short", None, "x" * 3000, "a b\n\n c"]
+    found = [r["w"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.chunk_windows(F.col("t")).alias("w")).collect()]
+    assert all(len(p) <= 1200 for p in found[0]) and found[1:4] == [[], ["short"], []] and found[5] == ["a b c"]
+    assert [len(p) for p in found[4]] == [1200, 1200, 1000] and len(found[0]) == 5 and found[0][0].endswith("word")
