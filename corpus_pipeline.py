@@ -11,7 +11,8 @@ empty table passes all stages. Other columns are dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm import decontaminate, jaccard, packing, pii, toxicity
@@ -30,8 +31,19 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """The columns of documents and ``_row``, a number for each row that is fixed once it is written."""
-    return stage(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows", dictionary=False)
+    """The columns of documents and ``_row``, a number for each row that stays the same: the file's and the place in it.
+
+    Rows that come from no file are written first.
+    """
+    try:
+        files = docs.select(F.col("_metadata.file_path").alias("_file")).distinct()
+    except AnalysisException:
+        docs = stage(docs.select(COLUMNS), "rows", dictionary=False)
+        files = docs.select(F.col("_metadata.file_path").alias("_file")).distinct()
+    order = F.row_number().over(Window.orderBy("_file")).cast("long")  # one row for each file
+    files = stage(files.select("_file", F.shiftleft(order, 40).alias("_first")), "files")
+    rows = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    return rows.join(files, "_file").withColumn("_row", F.col("_first") + F.col("_at")).drop("_file", "_first", "_at")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
