@@ -55,7 +55,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     members = groups.join(several, "_group", "left_semi")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
     first = members.join(rows.select("_row", "doc_id"), "_row").groupBy("_group").agg(F.min_by("_row", order).alias("_row"))
-    gone = members.select("_row").join(first.select("_row"), "_row", "left_anti")
+    # written, so that its size is known when the join is planned: texts are shuffled only if it is too large to broadcast
+    gone = stage(members.select("_row").join(first.select("_row"), "_row", "left_anti"), "gone")
     return rows.join(gone, "_row", "left_anti").select(COLUMNS)
 
 
@@ -63,7 +64,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops documents that hold a benchmark item."""
     rows = numbered(docs)
     found = decontaminate.contained(rows.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return rows.join(found.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(COLUMNS)
+    gone = stage(found.select(F.col("doc_id").alias("_row")).distinct(), "gone")
+    return rows.join(gone, "_row", "left_anti").select(COLUMNS)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
