@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +20,6 @@ import pyarrow.compute as pc
 from ridgeline.llm.common import slices, utf8
 
 _MARK = "\x00"
-#: Letters (and a few signs that count as such here), then stops, then nothing.
-_WORD = re.compile(r"([^\W\d_]+)([.,;:!?]*)")
 #: A space to the library but not to Python.
 _ALSO_SPACE = "᠎"
 _GROUP = 256
@@ -71,9 +68,8 @@ class Encoder:
         self.pool, self.used = np.zeros(1 << 20, self.dtype), 0  # ids of all entries
         self.first, self.count, self.entries = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
         self.cache: dict[str, int] = {}  # entry of a piece, as it is after a space; -1 if the text must be encoded whole
-        self.words: dict[str, int] = {}  # entry of a word, as it is after a space
         self.heads: dict[str, int] = {}  # entry of a piece, as it is at the start of a text
-        self.tails: dict[str, int] = {"": int(self._add(np.zeros(0, self.dtype), [0])[0])}  # entry of stops, as they are after a word
+        self.nothing = int(self._add(np.zeros(0, self.dtype), [0])[0])
 
     def _add(self, ids: np.ndarray, counts) -> np.ndarray:
         """Numbers of new entries whose ids follow each other in ``ids``."""
@@ -128,48 +124,26 @@ class Encoder:
         return np.flatnonzero(ids == self.mark) + 1
 
     def _learn(self, missing: list[str]) -> None:
-        """Entries of pieces from those of their words and stops, or of whole pieces."""
-        split, whole, tails = [], [], set()
-        new: dict[str, None] = {}
-        if self.spaced:
-            match, words = _WORD.fullmatch, self.words
-            for p in missing:
-                if m := match(p):
-                    word, tail = m.groups()
-                    split.append((p, word, tail))
-                    if word not in words:
-                        new[word] = None
-                    if tail not in self.tails:
-                        tails.add(tail)
-                else:
-                    whole.append(p)
-        else:  # stops stand apart already
-            words, new = self.cache, dict.fromkeys([p for p in missing if p.isalpha()])
-            whole = [p for p in missing if p not in new]
-        if tails:
-            self._alone(self.tails, list(tails), list(tails))
-        # a word gives one part, unless the vocabulary's idea of a letter differs: then it is encoded by itself
-        rest = self._joined(words, list(new), " ", self._opened if self.spaced else self._closed)
-        self._alone(words, rest, [" " + p if self.spaced else p for p in rest])
-        if split:
-            parts = np.array([(words[w], self.tails[t]) for _, w, t in split], np.int64)
-            bare = self.count[parts[:, 1]] == 0
-            entries = parts[:, 0].copy()
-            entries[~bare] = self._add(self._gather(parts[~bare].ravel()), self.count[parts[~bare]].sum(1))
-            self.cache.update(zip([p for p, _, _ in split], entries.tolist()))
-        odd = [p for p in whole if _odd(p) or (not self.spaced and _MARK in p)]
-        usual = list(set(whole).difference(odd))
-        rest = self._joined(self.cache, usual, " ", self._opened) if self.spaced else self._joined(self.cache, usual, f" {_MARK} ", self._marked)
+        """Entries of pieces: words by the group, cut where one ends or opens; a word gives one part, unless the vocabulary's idea of a letter differs."""
+        words = [p for p in missing if p.isalpha()]
+        rest = self._joined(self.cache, words, " ", self._opened if self.spaced else self._closed)
+        others = [p for p in missing if not p.isalpha()]
         if self.spaced:
+            behind = [p for p in others if p[:1] == _MARK and not _odd(p)]
+            self._alone(self.cache, behind, [p[1:] for p in behind])
+            odd = [p for p in others if _odd(p)]
             self.cache.update(dict.fromkeys(odd, -1))
+            usual = list(set(others).difference(odd, behind))
+            rest += self._joined(self.cache, usual, " ", self._opened)
         else:
-            rest += odd
+            odd = [p for p in others if _odd(p) or _MARK in p]
+            rest += odd + self._joined(self.cache, list(set(others).difference(odd)), f" {_MARK} ", self._marked)
         self._alone(self.cache, rest, [" " + p if self.spaced else p for p in rest])
 
     def _prepared(self, texts: pa.Array) -> pa.Array:
-        """Where white space only separates and letters have one case: A-Z lower-cased, line ends as spaces, a space between a letter and stops."""
+        """A space between a letter and stops, with a mark if white space counts; if it only separates, A-Z in lower case and line ends as spaces, too."""
         if self.spaced:
-            return texts
+            return pc.replace_substring_regex(texts, "([A-Za-z])([.,;:!?])", r"\1 " + _MARK + r"\2")
         return pc.replace_substring_regex(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), "([a-z])([.,;:!?])", r"\1 \2")
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -178,11 +152,13 @@ class Encoder:
         n = len(texts)
         if not n:
             return np.zeros(0, self.dtype), np.zeros(1, np.int64)
-        if len(self.cache) + len(self.words) > self.limit or len(self.heads) + len(self.tails) > 40_000:
+        if len(self.cache) > self.limit or len(self.heads) > 40_000:
             self._forget()
         whole = np.full(n, self.all_whole)
         for a in self.added:
             whole |= np.asarray(pc.match_substring(texts, a, ignore_case=True))  # lower case makes one of <|EndOfText|>, too
+        if self.spaced:
+            whole |= np.asarray(pc.match_substring(texts, _MARK))
         split = pc.split_pattern(self._prepared(pc.if_else(pa.array(whole), "", texts)), " ")
         at = np.asarray(split.offsets).astype(np.int64)
         coded = split.flatten().dictionary_encode()
@@ -205,17 +181,16 @@ class Encoder:
         entry[missing] = [self.cache[pieces[i]] for i in missing]
         found = entry[index] if len(index) else np.zeros(0, np.int64)
         if self.spaced:
-            found[at[:-1]] = [-1 if _odd(h) and h else self.heads[h] if h else self.tails[""] for h in heads]
+            found[at[:-1]] = [-1 if _odd(h) and h else self.heads[h] if h else self.nothing for h in heads]
             # a text that begins with a space has an empty head, too
             whole |= np.asarray(pc.match_substring_regex(texts, "^ "))
             whole |= np.logical_or.reduceat(found < 0, at[:-1])
-        found[np.repeat(whole, np.diff(at))] = self.tails[""]
+        found[np.repeat(whole, np.diff(at))] = self.nothing
         ids = self._gather(found)
         offsets = np.concatenate(([0], np.cumsum(self.count[found], dtype=np.int64)))[at]
         for i in missing:
             if len(pieces[i]) > 100:  # hardly comes again
                 self.cache.pop(pieces[i], None)
-                self.words.pop(pieces[i], None)
         if whole.any():
             some = np.flatnonzero(whole)
             parts = [ids[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
@@ -240,4 +215,4 @@ def ended(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray
 @functools.lru_cache(2)
 def encoder(name: str, spaced: bool) -> Encoder:
     """One encoder for all tasks of a Python worker, with what it has cached so far."""
-    return Encoder(name, spaced, 800_000 if spaced else 400_000)
+    return Encoder(name, spaced, 700_000 if spaced else 400_000)
