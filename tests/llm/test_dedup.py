@@ -172,6 +172,16 @@ def test_many_rows_of_one_set(spark):
     assert found == linked(texts, 3, 90)
 
 
+def test_copies_are_kept_once(spark, monkeypatch):
+    """Copies are no links between sets: none has its set staged, but for those of texts that other texts resemble, once; whatever their number."""
+    base = " ".join(f"w{i}" for i in range(40))
+    texts = [" ".join(f"t{k}x{i}" for i in range(30)) for k in range(20)] * 6 + [base, f"{base} more"] * 6
+    rows = jaccard.classified(frame(spark, texts).repartition(5), 3, 90)
+    assert rows.count() == len(texts) and rows.where("elements IS NOT NULL").count() == 2
+    monkeypatch.setattr(jaccard, "CHUNK_BYTES", 400)  # each text is dealt to several chunks
+    assert sorted(map(tuple, jaccard.join(frame(spark, texts).repartition(5), 3, 90).collect())) == linked(texts, 3, 90)
+
+
 def test_blocks_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", 300)
     texts = corpus(5)
