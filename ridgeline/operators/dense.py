@@ -62,28 +62,30 @@ def _scored(vectors: DataFrame, queries: DataFrame, metric: str, limit: int, kee
     return rows.sparkSession.createDataFrame([], kind) if found is None else found
 
 
+def best(steps: Iterator, n: int, k: int, above: float = -np.inf) -> Iterator[tuple]:
+    """One (queries, ids, scores): the k best of each of n queries, with equal scores by id. steps: (ids, matrix of scores); scores at ``above`` or under don't count."""
+    floor = np.full(n, -np.inf)  # no score below a query's can be among its k best
+    have: tuple | None = None
+    for ids, scores in steps:
+        if len(scores) >= k:
+            floor = np.maximum(floor, np.partition(scores, len(scores) - k, axis=0)[len(scores) - k])
+        row, q = np.nonzero((scores >= floor - CLOSE) & (scores > above))
+        new = (q, ids.take(pa.array(row)), scores[row, q])
+        if have:
+            new = (np.concatenate((have[0], q)), pa.concat_arrays([have[1], new[1]]), np.concatenate((have[2], new[2])))
+        names = np.asarray(new[1].to_pylist()) if pa.types.is_string(new[1].type) else np.asarray(new[1])
+        order = np.lexsort((names, -np.round(new[2], 6), new[0]))
+        place = np.arange(len(order)) - np.searchsorted(new[0][order], new[0][order])
+        order = order[place < k]
+        have = (new[0][order], new[1].take(pa.array(order)), new[2][order])
+    if have:
+        yield have
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", limit: int = BLOCK_BYTES) -> DataFrame:
     """(qid, id, score, rank) from (id, embedding) and (qid, qvec)."""
 
-    def best(steps: Iterator, n: int) -> Iterator[tuple]:
-        floor = np.full(n, -np.inf)  # no score below a query's can be among its k best
-        have: tuple | None = None
-        for ids, scores in steps:
-            if len(scores) >= k:
-                floor = np.maximum(floor, np.partition(scores, len(scores) - k, axis=0)[len(scores) - k])
-            row, q = np.nonzero(scores >= floor - CLOSE)
-            new = (q, ids.take(pa.array(row)), scores[row, q])
-            if have:
-                new = (np.concatenate((have[0], q)), pa.concat_arrays([have[1], new[1]]), np.concatenate((have[2], new[2])))
-            names = np.asarray(new[1].to_pylist()) if pa.types.is_string(new[1].type) else np.asarray(new[1])
-            order = np.lexsort((names, -np.round(new[2], 6), new[0]))
-            place = np.arange(len(order)) - np.searchsorted(new[0][order], new[0][order])
-            order = order[place < k]
-            have = (new[0][order], new[1].take(pa.array(order)), new[2][order])
-        if have:
-            yield have
-
-    return ranking.top_k(_scored(vectors, queries, metric, limit, best), k)
+    return ranking.top_k(_scored(vectors, queries, metric, limit, lambda steps, n: best(steps, n, k)), k)
 
 
 def scores(vectors: DataFrame, queries: DataFrame, metric: str = "cosine") -> DataFrame:
