@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.functions import text as T
+from ridgeline.functions import batches
 
 DIM = 64
 
@@ -61,26 +62,30 @@ class Encoder(Protocol):
     def __call__(self, df: DataFrame, text: str, out: str) -> DataFrame: ...
 
 
+@lru_cache(1 << 16)
 def _bucket(token: str) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % DIM
 
 
-def _counted(tokens: pa.Array) -> pa.Array:
-    """Counts by bucket of each row's tokens; distinct tokens of a batch are hashed once."""
-    size = np.asarray(tokens.value_lengths().fill_null(0))
-    coded = tokens.flatten().dictionary_encode()
+def _counted(texts: pa.Array) -> pa.Array:
+    """Counts by bucket of each text's tokens; distinct tokens of a step are hashed once. texts: ``batches.lowered``."""
+    parts = [_lists(*batches.tokens(part), len(part)) for _, part in batches.steps(texts)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float64()))
+
+
+def _lists(row: np.ndarray, tokens: pa.Array, n: int) -> pa.Array:
+    coded = tokens.dictionary_encode()
     bucket = np.array([_bucket(t) for t in coded.dictionary.to_pylist()], np.int64)
-    row = np.repeat(np.arange(len(tokens)), size)
     at = bucket[np.asarray(coded.indices)] if len(row) else row
-    counts = np.bincount(row * DIM + at, minlength=len(tokens) * DIM).astype(np.float64)
-    cut = np.arange(len(tokens) + 1, dtype=np.int32) * DIM
+    counts = np.bincount(row * DIM + at, minlength=n * DIM).astype(np.float64)
+    cut = np.arange(n + 1, dtype=np.int32) * DIM
     lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(counts))
-    return pc.if_else(pa.array(size > 0), lists, pa.scalar(None, lists.type))
+    return pc.if_else(pa.array(np.bincount(row, minlength=n) > 0), lists, pa.scalar(None, lists.type))
 
 
 def hashed_tf(df: DataFrame, text: str, out: str) -> DataFrame:
     """Counts of tokens by md5 bucket: the same value in any engine with md5; blank texts have no vector."""
-    return df.withColumn(out, F.arrow_udf(_counted, "array<double>")(T.tokenize(F.col(text))))
+    return df.withColumn(out, F.arrow_udf(_counted, "array<double>")(batches.lowered(F.col(text))))
 
 
 def pandas_encoder(load: Callable[[], Callable[[list[str]], list[list[float]]]], prefix: str = "") -> Encoder:
