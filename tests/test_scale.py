@@ -2,6 +2,9 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from ridgeline.functions import text as T
 from ridgeline.operators import bm25
 from ridgeline.plans import queries as Q
 from ridgeline.plans import tables as D
@@ -43,3 +46,17 @@ def test_repeated_ids_are_joined(spark):
     index = bm25.build(spark.createDataFrame([(1, "a1 b1"), (1, "a1 c1"), (2, "b1"), (3, "c1")], "id long, text string"))
     assert not index.keyed and index.stats.first()["n_docs"] == 3
     assert {(r["term"], r["df"]) for r in bm25.term_stats(index).collect()} == {("a1", 1), ("b1", 2), ("c1", 2)}
+
+
+def test_lines_that_answer_are_found_once_and_dealt(spark, monkeypatch):
+    """Two readers of the gold lines share one staged table, made by tasks that share the pairs; the rows are those of each pair looked at."""
+    names, derived = [], Q.derived
+    monkeypatch.setattr(Q, "derived", lambda spark, sources, name, build: names.append(name) or derived(spark, sources, name, build))
+    found = Q._gold_held(spark, DIR)
+    assert "gold-held" in names and Q._gold_held(spark, DIR) is found
+    held = Q._gold(spark, DIR).withColumnRenamed("id", "doc_id")
+    pairs = held.join(D.queries(spark, DIR), "qid").join(D.text_nodes(spark, DIR).select("doc_id", "node_id", "text"), "doc_id")
+    want = pairs.where(T.overlap_ratio(F.col("text"), F.col("query")) >= 0.3).select("qid", "node_id", "doc_id")
+    assert found.count() and sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    plan = Q._lines_held(spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "regexp_replace" not in plan.split("Join")[0]
