@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.config import Subgraph
 from ridgeline.functions import text as T
+from ridgeline.staging import stage
 
 
 def positions(nodes: DataFrame) -> DataFrame:
@@ -30,6 +31,12 @@ def spans(ranked: DataFrame, nodes: DataFrame, config: Subgraph = Subgraph()) ->
     return anchors.select("qid", "section_id", "node_id", "rank", "score", "at", lo.alias("lo"), hi.alias("hi"))
 
 
+def anchored(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes of the sections that have an anchor: windows need no others."""
+    own = nodes.select("node_id", "section_id").join(ranked.select("node_id").distinct(), "node_id", "left_semi").select("section_id").distinct()
+    return nodes.join(own, "section_id", "left_semi")
+
+
 def merge(found: DataFrame) -> DataFrame:
     """(qid, section_id, lo, hi, score, anchors): spans of a section that touch or overlap become one; anchors by rank."""
     order = Window.partitionBy("qid", "section_id").orderBy("lo", "rank")
@@ -42,6 +49,7 @@ def merge(found: DataFrame) -> DataFrame:
 
 def assemble(ranked: DataFrame, nodes: DataFrame, config: Subgraph = Subgraph()) -> DataFrame:
     """(qid, window_id, section_id, rank, score, anchors, members, from_start, title, text): windows by score, of equals the earlier anchor's."""
+    nodes = stage(anchored(ranked, nodes), "anchored")
     merged = merge(spans(ranked, nodes, config))
     chunks = positions(nodes).select(F.col("section_id").alias("_s"), "node_id", "at", "text")
     inside = (F.col("section_id") == F.col("_s")) & F.col("at").between(F.col("lo"), F.col("hi"))

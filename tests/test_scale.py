@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.functions import text as T
-from ridgeline.operators import bm25
+from ridgeline.operators import bm25, windows
 from ridgeline.plans import queries as Q
 from ridgeline.plans import tables as D
 
@@ -48,6 +48,33 @@ def test_repeated_ids_are_joined(spark):
     assert {(r["term"], r["df"]) for r in bm25.term_stats(index).collect()} == {("a1", 1), ("b1", 2), ("c1", 2)}
 
 
+def test_windows_are_made_of_documents_with_ranked_nodes(spark, monkeypatch):
+    """What the walk reaches beside them is read for its scores alone; windows of the sections with anchors are those of all nodes."""
+    sizes, text_nodes = [], D.text_nodes
+
+    def counted(spark, d, of=None):
+        found = text_nodes(spark, d, of)
+        sizes.append(found.select("doc_id").distinct().count())
+        return found
+
+    ranked, found = Q._node_scores(spark, DIR, Q.Score())
+    monkeypatch.setattr(D, "text_nodes", counted)
+    monkeypatch.setattr(Q, "_node_scores", lambda *_: (ranked, found))
+    made = Q._windows(spark, DIR)
+    assert sizes == [ranked.select(Q._named(F.col("node_id"))).distinct().count()] and sizes[0] < found.count()
+    monkeypatch.setattr(windows, "anchored", lambda ranked, nodes: nodes)
+    every = windows.assemble(ranked, text_nodes(spark, DIR))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert made.count() and rows(made) == rows(every)
+
+
+def test_links_of_a_walk_are_hashed_once(spark, monkeypatch):
+    asked, links = [], D.links
+    monkeypatch.setattr(D, "links", lambda spark, d, of=None: asked.append(of) or links(spark, d, of))
+    Q.QUERIES["bfs_expand"](spark, DIR)
+    assert asked and not any(asked)
+
+
 def test_lines_that_answer_are_found_once_and_dealt(spark, monkeypatch):
     """Two readers of the gold lines share one staged table, made by tasks that share the pairs; the rows are those of each pair looked at."""
     names, derived = [], Q.derived
