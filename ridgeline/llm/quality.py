@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import MULT2, U64, Words, clean, gram_rows, grams, mix, per_text, platt, sampled_labels, slices, utf8
+from ridgeline.llm.common import MULT2, U64, Words, clean, gram_rows, grams, mix, per_text, platt, sampled_labels, slices, trim, utf8
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 5000
@@ -78,6 +78,31 @@ def slots(words: Words) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     ]
 
 
+@dataclass
+class _Part:
+    """Shares of one kind in a run of texts, by text: texts ``first`` on have ``many`` entries each. What fitting holds of a text is 12 bytes a distinct n-gram."""
+
+    first: int
+    many: np.ndarray
+    slot: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, first: int, slot: np.ndarray, at: np.ndarray) -> _Part:
+        sizes = np.diff(at)
+        key, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) << 32 | slot, return_counts=True)
+        d = key >> 32
+        return cls(first, np.bincount(d, minlength=len(sizes)), (key & 0xFFFFFFFF).astype(np.int32), n / sizes[d])
+
+
+def _products(parts: list[_Part], w: np.ndarray, n: int) -> np.ndarray:
+    """Sum over each text's entries of value and weight."""
+    z = np.zeros(n)
+    for p in parts:
+        np.add.at(z, np.repeat(np.arange(p.first, p.first + len(p.many)), p.many), p.value * w[p.slot])
+    return z
+
+
 @dataclass
 class Model:
     weight: np.ndarray
@@ -102,33 +127,39 @@ class Model:
         if not len(label) or label.min() == label.max():
             return model
         held = np.arange(len(label)) % 5 == 4
-        doc, slot, value = [], [], []
+        parts, seen = [], np.zeros(size, bool)
         data, offsets = utf8(pa.array(texts, pa.large_string()))
         for i, j in slices(offsets, 1 << 20):
             words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             for s, at in slots(words):
-                key, n = np.unique(np.repeat(np.arange(j - i), np.diff(at)) << 32 | s, return_counts=True)
-                d = key >> 32
-                doc.append(d + i)
-                slot.append(key & 0xFFFFFFFF)
-                value.append(n / np.diff(at)[d])
-        doc, slot, value = map(np.concatenate, (doc, slot, value))
-        used, slot = np.unique(slot, return_inverse=True)
-        spread = 1 / np.sqrt(np.bincount(slot, value * value) / len(label) + 1e-5)  # rare and common slots learn alike
-        value = value * spread[slot]
+                parts.append(_Part.of(i, s, at))
+                seen[parts[-1].slot] = True
+        del data, offsets, words
+        used, place = np.flatnonzero(seen), (np.cumsum(seen) - 1).astype(np.int32)
+        squares = np.zeros(len(used))
+        for p in parts:
+            p.slot = place[p.slot]
+            np.add.at(squares, p.slot, p.value * p.value)
+        spread = 1 / np.sqrt(squares / len(label) + 1e-5)  # rare and common slots learn alike
+        for p in parts:
+            p.value *= spread[p.slot]
+        trim()
         w, b = np.zeros(len(used)), float(np.log(label.mean() / (1 - label.mean())))
         m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
         train = ~held
         for t in range(1, rounds + 1):
-            z = np.bincount(doc, value * w[slot], len(label)) + b
+            z = _products(parts, w, len(label)) + b
             r = np.where(train, 1 / (1 + np.exp(-np.clip(z, -30, 30))) - label, 0) / train.sum()
-            g = np.bincount(slot, value * r[doc], len(used)) + 1e-4 * w
+            g = np.zeros(len(used))
+            for p in parts:
+                np.add.at(g, p.slot, p.value * np.repeat(r[p.first : p.first + len(p.many)], p.many))
+            g += 1e-4 * w
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             w -= 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)
             gb = r.sum()
             mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
             b -= 0.02 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-6)
-        z = np.bincount(doc, value * w[slot], len(label)) + b
+        z = _products(parts, w, len(label)) + b
         model.weight[used], model.bias, model.scale = w * spread, b, platt(z[held], label[held])
         return model
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -176,6 +177,21 @@ def test_repeated_rows_and_null_ids_are_judged_alike(spark):
         assert len(got) == 6 and max(Counter(got).values()) >= 4
 
 
+def test_quality_fit_holds_few_bytes_an_entry():
+    """The driver fits: twice as many texts take 12 bytes an n-gram more, and some more that passes."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{w:x}" for w in rng.integers(0, 1 << 20, 400)) for _ in range(1600)]
+    label = (np.arange(1600) % 3 > 0).astype(float)
+    peak, entries = [], []
+    for n in (800, 1600):
+        entries.append(sum(len(np.unique(s)) for t in texts[:n] for s, _ in quality.slots(Words(*utf8(pa.array([t], pa.large_string()))))))
+        tracemalloc.start()
+        quality.Model.fit(texts[:n], label[:n], rounds=1)
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert (peak[1] - peak[0]) / (entries[1] - entries[0]) < 24
+
+
 def test_quality_does_not_depend_on_neighbours():
     rng = np.random.default_rng(0)
     texts = ["", "a", "ab", "é", *(" ".join(f"w{k}" for k in rng.integers(0, 50, n)) for n in range(1, 60))]
