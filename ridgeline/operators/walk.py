@@ -158,11 +158,12 @@ def node_scores(nodes: DataFrame, queries: DataFrame, levels: DataFrame, distanc
     """
     if distances is None:
         found = dense.scores(nodes.select(F.col("node_id").alias("id"), "embedding"), queries).withColumnRenamed("id", "node_id")
-        pairs = found.join(nodes.select("node_id", "section_id", "node_type"), "node_id").withColumn("dist", F.lit(FAR))
-        sim = F.col("score")
+        pairs = found.join(nodes.select("node_id", "section_id", "node_type"), "node_id").withColumn("dist", F.lit(FAR)).withColumnRenamed("score", "sim")
     else:
         pairs = distances.withColumnRenamed("node", "node_id").join(nodes, "node_id").join(queries.select("qid", "qvec"), "qid")
-        sim = V.cosine(F.col("qvec"), F.col("embedding"))
+        # vectors end here: the join with levels would shuffle two of them for each pair
+        pairs = pairs.select("qid", "node_id", "section_id", "node_type", "dist", V.cosine(F.col("qvec"), F.col("embedding")).alias("sim"))
+    sim = F.col("sim")
     if config.mode == "text_only":
         return pairs.select("qid", "node_id", "section_id", "node_type", sim.alias("score"))
 

@@ -4,8 +4,9 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from ridgeline.config import Score
 from ridgeline.functions import text as T
-from ridgeline.operators import bm25, windows
+from ridgeline.operators import bm25, walk, windows
 from ridgeline.plans import queries as Q
 from ridgeline.plans import tables as D
 
@@ -101,3 +102,17 @@ def test_lines_that_answer_are_found_once_and_dealt(spark, monkeypatch):
     assert found.count() and sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     plan = Q._lines_held(spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan and "regexp_replace" not in plan.split("Join")[0]
+
+
+def test_vectors_of_pairs_end_before_the_join_with_levels(spark):
+    """A pair of a query and a node goes on with its similarity, not with two vectors; scores are as they were."""
+    nodes = spark.createDataFrame([("n1", "s1", "chunk", [1.0, 0.0]), ("n2", "s2", "caption", [1.0, 1.0]), ("n3", "s9", "chunk", None)], "node_id string, section_id string, node_type string, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "qid int, qvec array<double>")
+    levels = spark.createDataFrame([("s1", 1), ("s2", 2)], "section_id string, level int")
+    far = spark.createDataFrame([(q, n, 2) for q in (1, 2) for n in ("n1", "n2", "n3")], "qid int, node string, dist int")
+    found = walk.node_scores(nodes, queries, levels, far, Score())
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("LeftOuter")[0]
+    assert "embedding" not in above and "qvec" not in above
+    got = {(r["qid"], r["node_id"]): round(r["score"], 6) for r in found.collect()}
+    # similarity + 0.3 x type + 0.15 x level - 0.2 x hops
+    assert got == {(1, "n1"): 0.795, (2, "n1"): -0.205, (1, "n2"): 0.397107, (2, "n2"): 0.397107, (1, "n3"): -1.205, (2, "n3"): -1.205}
