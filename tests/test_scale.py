@@ -126,3 +126,11 @@ def test_diagnostics_stage_no_lines_beside_their_documents(spark, monkeypatch, n
     monkeypatch.setattr(Q, "_gold_held", lambda spark, d: Q._lines_held(spark, d))
     Q.QUERIES[name](spark, DIR)
     assert names.count("picked") == 2 and "nodes" not in names
+
+
+def test_a_walk_in_few_documents_stages_vectors_alone(spark, built, monkeypatch):
+    """Neither the lines nor the sections' texts of the picked documents lie in the shared folder beside the documents and the vectors."""
+    names, stage = [], D.stage
+    monkeypatch.setattr(D, "stage", lambda df, name, *a: names.append(name) or stage(df, name, *a))
+    Q.QUERIES["hybrid_walk"](spark, DIR)
+    assert {"picked", "section-vectors", "node-vectors"} <= set(names) and not {"nodes", "sections"} & {*names, *built}
